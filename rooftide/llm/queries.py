@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rooftide.llm import bpe, mixing
+from rooftide.llm import bpe, jaccard, mixing, quality, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,5 +25,23 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe}
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_bpe": op2_bpe,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op5_quality": op5_quality,
+    "op7_toxicity": op7_toxicity,
+}
 ORACLE = {"op1_mixing": mixing.oracle()}

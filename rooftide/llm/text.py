@@ -58,10 +58,10 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts, byte ends and document index of all words."""
+def word_spans(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts, byte ends and document index of all words; ``gap`` tells by byte what parts them."""
     inside = np.zeros(len(buf) + 2, bool)
-    inside[1:-1] = ~tables()[0][buf]
+    inside[1:-1] = ~(tables()[0] if gap is None else gap)[buf]
     cut = offs[1:-1]
     starts = inside[1:-1] & ~inside[:-2]
     ends = inside[1:-1] & ~inside[2:]
