@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rooftide.llm import bpe, jaccard, mixing, quality, toxicity
+from rooftide.llm import bpe, jaccard, linededup, mixing, quality, secretscan, toxicity, urlfilter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,11 +38,27 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digests(read(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.example(spark, read(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_quality": op5_quality,
+    "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_url_filter": op10_url_filter,
 }
-ORACLE = {"op1_mixing": mixing.oracle()}
+ORACLE = {"op1_mixing": mixing.oracle(), "op8_line_dedup": linededup.ORACLE, "op10_url_filter": urlfilter.oracle()}
