@@ -173,18 +173,18 @@ def remembered(key: str, make):
     return kept[key]
 
 
-def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", tokens: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", more: tuple = ()) -> DataFrame:
     """Encode and decode every text of ``docs`` with the vocabulary file at ``path``.
 
     Returns ``id_column, n_tokens, ids_sha256, decoded_sha256`` (SHA-256 of the
-    decimal ids joined by commas, and of the decoded text in UTF-8), and with
-    ``tokens`` also ``ids array<int>`` and ``decoded string``. One pass over the
+    decimal ids joined by commas, and of the decoded text in UTF-8), and those of
+    ``ids array<int>`` and ``decoded string`` that ``more`` names. One pass over the
     input, no shuffle; the merge tables are broadcast and of fixed size.
     """
     table = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
     rows = docs.select(id_column, text_column)
     kind = rows.schema[id_column].dataType.simpleString()
-    schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * tokens
+    schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {c} {k}" for c, k in (("ids", "array<int>"), ("decoded", "string")) if c in more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = remembered(f"bpe {path}", lambda: Encoder(table.value))
@@ -200,8 +200,10 @@ def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
                     "ids_sha256": pa.array(sha, pa.string()),
                     "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in out], pa.string()),
                 }
-                if tokens:
-                    columns |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(out, pa.string())}
+                if "ids" in more:
+                    columns["ids"] = pa.array(ids, pa.list_(pa.int32()))
+                if "decoded" in more:
+                    columns["decoded"] = pa.array(out, pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
     return rows.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rooftide.llm import bpe, jaccard, linededup, mixing, quality, secretscan, toxicity, urlfilter
+from rooftide.llm import ann, bpe, itq, jaccard, linededup, mixing, quality, secretscan, toxicity, urlfilter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,14 +51,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.example(spark, read(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), 50)
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.link(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_ann": op4_ann,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_url_filter": op10_url_filter,
 }
 ORACLE = {"op1_mixing": mixing.oracle(), "op8_line_dedup": linededup.ORACLE, "op10_url_filter": urlfilter.oracle()}
