@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TABLES, PROBES, BLOCK = 24, 20, 16384
+TABLES, PROBES, BLOCK = 24, 5, 16384
 VALID = (
     "{c} IS NOT NULL AND NOT exists({c}, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity'))"
     " AND exists({c}, x -> x <> 0)"
