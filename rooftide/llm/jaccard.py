@@ -9,7 +9,11 @@ shingles (:func:`rooftide.llm.text.shingle_sets`). Two documents link when
    the sets differ in at most ``d = hi * (den - num) // num`` elements. Deal the
    elements into ``d + 1 + slack`` groups by hash: ``slack + 1`` groups at least
    are equal in both sets. Both documents leave out their ``slack`` least
-   groups, by size, so an equal group remains that both keep. Hashes of kept
+   groups, by the number of their elements that are not common ones, then by
+   size; equal groups rank alike in both, so one remains that both keep. (The
+   common elements, counted over all documents, are the most frequent of those
+   that several documents of one task share; ``COMMON`` bounds them, and they
+   decide only which groups are left out.) Hashes of kept
    groups are the keys under which documents meet; no link can be missed.
    Sizes fall into bands, each with its own ``d``; a document also gives keys
    for a lower band if a smaller partner may lie there.
@@ -45,6 +49,8 @@ from rooftide.llm.text import chunks, mix, shingle_sets
 _U = np.uint64
 #: Documents and shingles that one block should hold.
 BLOCK_DOCS, BLOCK_SHINGLES = 384, 1 << 18
+#: Documents of one chunk that must share an element for it to be counted, and the most common elements used.
+SHARED, COMMON = 4, 1 << 17
 #: Keys that a task groups at once.
 GROUPED_KEYS = 1 << 20
 
@@ -68,11 +74,20 @@ def set_hashes(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
-def keys(flat: np.ndarray, offs: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Meeting keys of sets: the keys, and the place of each one's set."""
+def keys(flat: np.ndarray, offs: np.ndarray, num: int, den: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Meeting keys of sets: the keys, and the place of each one's set.
+
+    ``common`` are sorted elements that many sets hold; groups with few others
+    are left out first.
+    """
+    if common is None or not len(common):
+        rare = np.ones(len(flat), np.int64)
+    else:
+        rare = (common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] != flat).astype(np.int64)
     n = np.diff(offs)
-    spans = bands(int(n.max(initial=0)))
-    lo, hi = (np.array(x, np.int64) for x in zip(*spans, strict=True)) if spans else (np.zeros(0, np.int64),) * 2
+    if not len(flat):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lo, hi = (np.array(x, np.int64) for x in zip(*bands(int(n.max())), strict=True))
     out_key, out_set = [], []
     own = np.searchsorted(lo, n, side="right") - 1
     down = 0
@@ -94,12 +109,13 @@ def keys(flat: np.ndarray, offs: np.ndarray, num: int, den: int) -> tuple[np.nda
             g = np.repeat(base, size) + (((u >> _U(32)) * np.repeat(groups, size).astype(_U)) >> _U(32)).astype(np.int64)
             new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             total = int(groups.sum())
-            count, value = np.zeros(total, np.int64), np.zeros(total, _U)
+            count, few, value = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, _U)
             count[g[new]] = np.diff(np.append(new, len(g)))
+            few[g[new]] = np.add.reduceat(rare[at], new)
             value[g[new]] = np.add.reduceat(mix(u, 33), new)
             owner = np.repeat(np.arange(len(docs)), groups)
             place = np.arange(total) - base[owner]
-            order = np.lexsort((place, count, owner))
+            order = np.lexsort((place, count, few, owner))
             kept = order[(np.arange(total) - base[owner]) >= slack[owner]]
             salt = mix((b[owner[kept]].astype(_U) << _U(40)) + place[kept].astype(_U), 34)
             out_key.append(mix(value[kept] + salt, 35))
@@ -112,6 +128,8 @@ def keys(flat: np.ndarray, offs: np.ndarray, num: int, den: int) -> tuple[np.nda
 
 def grouped(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One row for each key, with its smallest node; the others meet that node under a key of their own."""
+    if not len(key):
+        return key, node
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
     head = np.concatenate([[True], key[1:] != key[:-1]])
@@ -153,7 +171,7 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = least
 
 
-def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id", text_column: str = "text", trace: dict | None = None) -> DataFrame:
     """Returns ``id_column, n_shingles, component_id`` for every row of ``docs``."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
 
@@ -163,6 +181,10 @@ def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id",
                 flat, offs = shingle_sets(part.column("text"), k)
                 h1, h2 = set_hashes(flat, offs)
                 yield pa.RecordBatch.from_pydict({"id": part.column("id"), "n": np.diff(offs), "h1": h1, "h2": h2})
+                gram, df = np.unique(flat, return_counts=True)
+                gram, df = gram[df >= SHARED].view(np.int64), df[df >= SHARED]
+                none = pa.nulls(len(gram), pa.int64())
+                yield pa.RecordBatch.from_pydict({"id": none, "n": -df, "h1": gram, "h2": np.zeros(len(gram), np.int64)})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
@@ -174,7 +196,7 @@ def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id",
         for batch in batches:
             for part in chunks(batch, "text"):
                 flat, offs = shingle_sets(part.column("text"), k)
-                key, place = keys(flat, offs, num, den)
+                key, place = keys(flat, offs, num, den, common.value)
                 held.append((key, set_hashes(flat, offs)[0][place]))
                 count += len(key)
                 if count > GROUPED_KEYS:
@@ -219,7 +241,10 @@ def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id",
         far = np.flatnonzero(least != np.arange(len(ids)))
         return pa.table({"a": ids[least[far]], "b": ids[far]})
 
-    sized = materialize(rows.mapInArrow(sketch, "id long, n long, h1 long, h2 long"))
+    sketched = materialize(rows.mapInArrow(sketch, "id long, n long, h1 long, h2 long"))
+    sized = sketched.where("n >= 0")
+    shared = sketched.where("n < 0").groupBy("h1").agg(F.sum("n").alias("n")).orderBy("n", "h1").limit(COMMON)
+    common = docs.sparkSession.sparkContext.broadcast(np.sort(shared.select("h1").toArrow().column("h1").to_numpy().view(_U)))
     classes = sized.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")).where("rep IS NOT NULL")
     met = rows.where("id IS NOT NULL").mapInArrow(meet, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
     families = connected_components(met.mapInArrow(stars, "a long, b long")).withColumnRenamed("node", "h1")
@@ -244,6 +269,8 @@ def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id",
         " IF(under IS NULL, array(), transform(sequence(0L, under - 1), p -> concat_ws(',', family, band - 1, p, 1, part))))"
     )
     placed = placed.select(F.col("rep").alias("id"), "h1", blocks.alias("blocks"))
+    if trace is not None:
+        trace["placed"], trace["members"] = placed, members
     filled = rows.join(placed, "id").select("id", "h1", "text", "blocks").mapInArrow(sets, "id long, blocks array<string>, grams array<long>")
     links = filled.select(F.explode("blocks").alias("block"), "id", "grams").groupBy("block").applyInArrow(product, "a long, b long")
     parts = connected_components(links).withColumnRenamed("node", "rep")
