@@ -3,7 +3,7 @@
 Every whole text gives a row of statistics, transformed towards normal shape.
 Each class of labelled rows has a mean and a covariance shrunk towards its
 diagonal and a scaled identity; the score comes from the difference of the two
-log-densities, computed with cached Cholesky factors, and rises strictly with
+log-densities, computed with cached inverse Cholesky factors, and rises strictly with
 it. The cut that 0.7 stands for is where the two classes' shares of right answers
 over the training rows, that of class 1 counted ``KEEP`` times, add up to most.
 
@@ -96,7 +96,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> dict:
         rows = x[y == c]
         s = np.cov(rows.T)
         s = (1 - SHRINK) * s + SHRINK * (0.5 * np.diag(np.diag(s)) + 0.5 * np.trace(s) / len(s) * np.eye(len(s))) + 1e-4 * np.eye(len(s))
-        model["classes"].append((rows.mean(0), np.linalg.cholesky(s)))
+        factor = np.linalg.cholesky(s)
+        model["classes"].append((rows.mean(0), np.linalg.solve(factor, np.eye(len(s))), np.log(np.diag(factor)).sum()))
     d = differences(model, x)
     order = np.argsort(d)
     right = np.cumsum(y[order] == 0) / (y == 0).sum() + KEEP * (1 - np.cumsum(y[order] == 1) / (y == 1).sum())
@@ -107,11 +108,15 @@ def fit(x: np.ndarray, y: np.ndarray) -> dict:
 
 
 def differences(model: dict, x: np.ndarray) -> np.ndarray:
-    """Log-density of class 1 less that of class 0."""
+    """Log-density of class 1 less that of class 0.
+
+    ``einsum`` keeps to one thread: solving for all rows at once in a driver
+    that had forked a JVM sometimes waited for ever on the threads of the BLAS.
+    """
     out = []
-    for mean, factor in model["classes"]:
-        z = np.linalg.solve(factor, (x - mean).T)
-        out.append(-0.5 * (z**2).sum(0) - np.log(np.diag(factor)).sum())
+    for mean, inverse, log_det in model["classes"]:
+        z = np.einsum("nk,jk->nj", x - mean, inverse)
+        out.append(-0.5 * (z**2).sum(1) - log_det)
     return out[1] - out[0]
 
 
