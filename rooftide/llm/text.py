@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at once; bounds the memory of the temporary arrays.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _U = np.uint64
 
 
