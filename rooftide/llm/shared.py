@@ -22,13 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: Files that a small intermediate table is written to at most, and the rows of a file of a larger one.
+FILES, FILE_ROWS = 8, 250_000
+
+
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage with files that survive the loss of executors, and
-    gives later joins true sizes to plan with.
+    gives later joins true sizes to plan with. ``rows``, where known, bounds the
+    rows of ``df``; the number of files follows from it, so that small tables
+    don't become one tiny file for each shuffle partition.
     """
     path = f"{shared_dir(df.sparkSession)}/rooftide/{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(FILES, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -49,33 +57,36 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = materialize(
         edges.where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
     )
-    mapping = None
-    while not e.isEmpty():
-        p = materialize(e.groupBy(F.col("y").alias("node")).agg(F.min("x").alias("parent")))
+    mapping, mapped = None, 0
+    while left := e.count():  # from the files' footers; it bounds the nodes with a parent as well
+        p = materialize(e.groupBy(F.col("y").alias("node")).agg(F.min("x").alias("parent")), left)
         while True:
             q = p.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
             p = materialize(
                 p.join(q, "parent", "left").select(
                     "node", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("moved")
-                )
+                ),
+                left,
             )
             if p.where("moved").isEmpty():
                 break
             p = p.drop("moved")
         p = p.drop("moved")
+        mapped += left
         if mapping is None:
             mapping = p
         else:
             q = p.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
             mapping = materialize(
-                mapping.join(q, "parent", "left").select("node", F.coalesce("up", "parent").alias("parent")).unionByName(p)
+                mapping.join(q, "parent", "left").select("node", F.coalesce("up", "parent").alias("parent")).unionByName(p),
+                mapped,
             )
         px = p.select(F.col("node").alias("x"), F.col("parent").alias("rx"))
         py = p.select(F.col("node").alias("y"), F.col("parent").alias("ry"))
         r = e.join(py, "y", "left").join(px, "x", "left")
         r = r.select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y"))
         e = materialize(
-            r.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+            r.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), left
         )
     if mapping is None:
         return edges.sparkSession.createDataFrame([], "node long, component long")
