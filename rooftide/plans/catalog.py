@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rooftide.plans import graphs
 from rooftide.plans.fixtures import TABLES, with_views
 
 
@@ -73,6 +74,20 @@ SQL = {
     "p2_attribute_tester": "SELECT fid, coalesce(skip_flag, false) AS result FROM features",
     "p3_skip_replace": "SELECT fid, CASE WHEN roof_type IN ('no points', 'no planes') THEN true ELSE coalesce(skip_flag, false) END AS skip, CASE WHEN roof_type IN ('no points', 'no planes') THEN false ELSE coalesce(skip_flag, false) END AS replace_ FROM features",
     "p4_faces_selector": "SELECT t.fid, t.tri_id, 'A' AS side FROM triangles t JOIN features f ON t.fid = f.fid WHERE coalesce(f.skip_flag, false) AND f.roof_type <> 'no planes' UNION ALL SELECT t.fid, t.tri_id, 'B' AS side FROM triangles t JOIN features f ON t.fid = f.fid WHERE NOT coalesce(f.skip_flag, false)",
+    "p5_ring_attributes": """SELECT f.fid, 'A' AS side, r.i, r.vx, r.vy, CAST(NULL AS DOUBLE) AS data_coverage, CAST(NULL AS BOOLEAN) AS is_ground, CAST(NULL AS INT) AS building_part_id FROM features f JOIN ring_vertices r ON f.fid = r.fid WHERE coalesce(f.skip_flag, false) AND f.roof_type <> 'no planes'
+      UNION ALL SELECT fid, 'none', CAST(NULL AS INT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS BOOLEAN), CAST(NULL AS INT) FROM features WHERE coalesce(skip_flag, false) AND roof_type = 'no planes'
+      UNION ALL SELECT f.fid, 'B', e.i, e.ax, e.ay, 1.0e0, false, 0 FROM features f JOIN ring_edges e ON f.fid = e.fid WHERE NOT coalesce(f.skip_flag, false)""",
+    "p6_ring_to_rings": "SELECT fid, 0 AS ring, i, vx, vy FROM ring_vertices",
+    "p11_polygon_grower": f"""WITH n AS (SELECT v.fid, v.i, v.vx, v.vy, p.vx - v.vx AS ax, p.vy - v.vy AS ay, q.vx - v.vx AS bx, q.vy - v.vy AS by_ FROM ring_vertices v
+        JOIN ring_vertices p ON v.fid = p.fid AND p.i = (v.i + 5) % 6 JOIN ring_vertices q ON v.fid = q.fid AND q.i = (v.i + 1) % 6),
+      w AS (SELECT *, ax / (ax * ax + ay * ay) AS px, ay / (ax * ax + ay * ay) AS py, bx / (bx * bx + by_ * by_) AS qx, by_ / (bx * bx + by_ * by_) AS qy FROM n),
+      s AS (SELECT *, (px + qx) * (px + qx) + (py + qy) * (py + qy) AS len2 FROM w)
+      SELECT fid, i, {near('vx + 0.1e0 * CASE WHEN ax * by_ = ay * bx THEN py ELSE (px + qx) / len2 END')} AS x, {near('vy + 0.1e0 * CASE WHEN ax * by_ = ay * bx THEN -px ELSE (py + qy) / len2 END')} AS y, 0.0e0 AS z FROM s""",
+    "p14_triangles_to_mesh": "SELECT fid, 0 AS part_id, tri_id AS face_id, label, x0, y0, z0, x1, y1, z1, x2, y2, z2 FROM triangles",
+    "p15_triangle_normals": f"""WITH c AS (SELECT *, (y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0) AS nx, (z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0) AS ny, (x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0) AS nz FROM triangles),
+      u AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS len FROM c)
+      SELECT fid, tri_id, k, CASE k WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END AS x, CASE k WHEN 0 THEN y0 WHEN 1 THEN y1 ELSE y2 END AS y, CASE k WHEN 0 THEN z0 WHEN 1 THEN z1 ELSE z2 END AS z,
+        {near('nx / len')} AS nx, {near('ny / len')} AS ny, {near('nz / len')} AS nz FROM u CROSS JOIN (VALUES (0), (1), (2)) AS t(k)""",
     "p7_ring_segments": "SELECT fid, i AS segment, ax, ay, bx, by_ FROM ring_edges",
     "p8_footprint_faces": "SELECT a.face, a.fid, a.elevation_50p, a.pixel_count, f.name, f.roof_type FROM arr_face a LEFT JOIN features f ON a.fid = f.fid WHERE a.in_footprint",
     "p9_isolated_faces": "SELECT a.face, a.fid FROM arr_face a LEFT JOIN (SELECT DISTINCT face FROM arr_halfedge) h ON a.face = h.face WHERE h.face IS NULL",
@@ -97,7 +112,7 @@ SQL = {
 
 
 def oracle() -> dict[str, str]:
-    return {name: with_views(sql) for name, sql in SQL.items()}
+    return {name: with_views(sql) for name, sql in SQL.items()} | {name: graphs.oracle(name) for name in graphs.GRAPHS}
 
 
 def query(name: str):
@@ -113,4 +128,4 @@ def query(name: str):
     return run
 
 
-QUERIES = {name: query(name) for name in SQL}
+QUERIES = {name: query(name) for name in SQL} | graphs.QUERIES
