@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rooftide.plans import graphs
+from rooftide.plans import graphs, surfaces
 from rooftide.plans.fixtures import TABLES, with_views
 
 
@@ -110,6 +110,8 @@ SQL = {
     "x13_biggest_faces": "SELECT face, fid, pixel_count FROM (SELECT *, sum(pixel_count) OVER (PARTITION BY fid) AS total FROM arr_face) AS t WHERE pixel_count > 0.1e0 * total",
 }
 
+SQL |= surfaces.SQL
+
 
 def oracle() -> dict[str, str]:
     return {name: with_views(sql) for name, sql in SQL.items()} | {name: graphs.oracle(name) for name in graphs.GRAPHS}
