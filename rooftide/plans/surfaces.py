@@ -60,7 +60,37 @@ _INDEXED = """corners AS (SELECT fid, tri_id, 0 AS k, x0 AS x, y0 AS y, z0 AS z
     kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fid, least(v0, v1, v2), greatest(v0, v1, v2), v0 + v1 + v2 ORDER BY tri_id) AS copy FROM face
       WHERE v0 <> v1 AND v1 <> v2 AND v0 <> v2) AS f WHERE copy = 1)"""
 
+
+
+def to_edge(a: int, b: int) -> str:
+    """Squared distance of the point ``x, y, z`` from the edge between two corners of a triangle."""
+    t = f"least(greatest(((x - x{a}) * (x{b} - x{a}) + (y - y{a}) * (y{b} - y{a}) + (z - z{a}) * (z{b} - z{a})) / ((x{b} - x{a}) * (x{b} - x{a}) + (y{b} - y{a}) * (y{b} - y{a}) + (z{b} - z{a}) * (z{b} - z{a})), 0.0e0), 1.0e0)"
+    return " + ".join(f"power({c} - {c}{a} - {t} * ({c}{b} - {c}{a}), 2)" for c in "xyz")
+
+
+def beside(a: int, b: int) -> str:
+    """Whether the point's foot on the plane lies on the inner side of an edge; ``nx, ny, nz`` is the triangle's normal."""
+    cross = [f"(({u}{b} - {u}{a}) * ({v} - {v}{a}) - ({v}{b} - {v}{a}) * ({u} - {u}{a}))" for u, v in ("yz", "zx", "xy")]
+    return f"{cross[0]} * nx + {cross[1]} * ny + {cross[2]} * nz >= 0"
+
+
 SQL = {
+    "a6_plane_summary": f"""WITH pts AS (SELECT bucket AS fid, z, CAST(l_suppkey % 5 AS INT) AS label FROM points WHERE cls = 6),
+      kind AS (SELECT fid, plane_id, c / sqrt(a * a + b * b + c * c) AS up FROM planes),
+      tagged AS (SELECT p.fid, p.z, p.label, k.up, row_number() OVER (PARTITION BY p.fid, CASE WHEN k.up >= 0.3e0 THEN 1 ELSE 0 END ORDER BY p.z) AS rn,
+        count(*) OVER (PARTITION BY p.fid, CASE WHEN k.up >= 0.3e0 THEN 1 ELSE 0 END) AS n FROM pts p LEFT JOIN kind k ON p.fid = k.fid AND p.label = k.plane_id),
+      counted AS (SELECT fid, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS unsegmented, sum(CASE WHEN up < 0.3e0 THEN 1 ELSE 0 END) AS wall, sum(CASE WHEN up >= 0.3e0 THEN 1 ELSE 0 END) AS roof,
+        sum(CASE WHEN up > 0.97e0 THEN 1 ELSE 0 END) AS level, count(DISTINCT CASE WHEN up > 0.97e0 THEN label END) AS horizontal, count(DISTINCT CASE WHEN up >= 0.3e0 AND up <= 0.97e0 THEN label END) AS slanted,
+        count(DISTINCT CASE WHEN label <> 0 THEN label END) AS planes, min(CASE WHEN up >= 0.3e0 THEN z END) AS z_min, max(CASE WHEN up >= 0.3e0 THEN z END) AS z_max,
+        max(CASE WHEN up >= 0.3e0 AND rn = floor((n - 1) * 0.5e0) + 1 THEN z END) AS z_50p, max(CASE WHEN up >= 0.3e0 AND rn = floor((n - 1) * 0.7e0) + 1 THEN z END) AS z_70p FROM tagged GROUP BY fid)
+      SELECT fid, CAST(roof AS BIGINT) AS roof_points, CAST(wall AS BIGINT) AS wall_points, CAST(unsegmented AS BIGINT) AS unsegmented_points, horizontal, slanted, z_min, z_max, z_50p, z_70p,
+        CASE WHEN planes = 0 THEN 'no points' WHEN horizontal = 1 AND slanted = 0 THEN 'horizontal' WHEN level * 1.0e0 / greatest(roof, 1) > 0.95e0 THEN 'multiple horizontal' WHEN slanted > 0 THEN 'slanted' ELSE 'no planes' END AS roof_type FROM counted""",
+    "j8_mesh_quality": f"""WITH p AS (SELECT bucket AS fid, x, y, z, count(*) AS n FROM points WHERE cls = 6 GROUP BY bucket, x, y, z),
+      t AS (SELECT *, (y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0) AS nx, (z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0) AS ny, (x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0) AS nz FROM triangles WHERE label = 1),
+      d AS (SELECT p.*, t.tri_id, CASE WHEN {beside(0, 1)} AND {beside(1, 2)} AND {beside(2, 0)} THEN power((x - x0) * nx + (y - y0) * ny + (z - z0) * nz, 2) / (nx * nx + ny * ny + nz * nz)
+        ELSE least({to_edge(0, 1)}, {to_edge(1, 2)}, {to_edge(2, 0)}) END AS squared FROM p JOIN t ON p.fid = t.fid),
+      nearest AS (SELECT *, row_number() OVER (PARTITION BY fid, x, y, z ORDER BY squared, tri_id) AS rn FROM d)
+      SELECT fid, tri_id, CAST(sum(n) AS BIGINT) AS points, {near('sqrt(sum(squared * n) / sum(n))')} AS rmse, {near('max(squared)')} AS largest FROM nearest WHERE rn = 1 GROUP BY fid, tri_id""",
     "j4_plane_segments": f"""WITH {_LABELLED}, {adjacency()},
       line AS (SELECT p.fid, j.hi, j.lo, p.b * q.c - p.c * q.b AS dx, p.c * q.a - p.a * q.c AS dy, p.a * q.b - p.b * q.a AS dz,
         q.d * p.a - p.d * q.a AS ux, q.d * p.b - p.d * q.b AS uy, q.d * p.c - p.d * q.c AS uz
