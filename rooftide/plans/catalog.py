@@ -11,11 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rooftide.plans import graphs, surfaces
 from rooftide.plans.fixtures import TABLES, with_views
-
-
-def near(x: str) -> str:
-    """Half-up rounding to four places, alike in both engines."""
-    return f"floor(({x}) * 1e4 + 0.5e0) / 1e4"
+from rooftide.plans.surfaces import near
 
 
 def inside(px: str, py: str) -> str:
