@@ -23,8 +23,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go; their first occurrence stays."""
-    return linededup.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Repeated passages of two lines or more go, and documents of which nothing else was left; the first occurrence stays."""
+    left = linededup.passages(docs).where(r"n_removed = 0 OR text RLIKE '[^ \\t\\r\\n]'")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

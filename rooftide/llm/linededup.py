@@ -8,6 +8,14 @@ the occurrence with the smallest id, then the first line, stays; the others are
 removed once all occurrences' bytes have been compared and agree. (Chunks that
 share a digest with other bytes are left alone.)
 
+Chunks miss most passages of a few lines, as their edges depend on the lines
+around them. ``passages`` is exact instead: every two lines that follow each
+other meet all others by digest, and of equal ones the first stays. Two lines
+here have text; blank lines between them belong to them, and a line with only
+blank lines around it is single. A later passage of any length is the union of
+its pairs, so it goes as a whole. A pair that overlaps the first occurrence
+stays. The first occurrence of every line with text always stays.
+
 Digests, not texts, are grouped, with partial counts before the shuffle. Texts
 are shuffled once, by id, and that exchange serves both the comparison and the
 final removal.
@@ -21,6 +29,8 @@ rows. Other columns pass through, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,32 +41,64 @@ _HASH = "CAST(conv(substr(md5(x), 1, 8), 16, 10) AS BIGINT)"
 _LINES = "split(_text, '\\n', -1)"
 _ROLLING = f"transform(_h, (x, i) -> (x + IF(i = 0, 0, 31 * _h[i - 1])) % 4294967291)"
 _STARTS = "concat(array(0), filter(sequence(0, size(_r) - 1), i -> i > 0 AND _r[i] < _r[i - 1] AND (i = size(_r) - 1 OR _r[i] < _r[i + 1])))"
+#: Lines with text.
+_FILLED = "array_compact(transform(_lines, (x, i) -> IF(trim(BOTH ' \\t\\r' FROM x) = '', NULL, i)))"
+#: Places that overlap or touch, as one.
+_MERGED = (
+    "aggregate(array_sort(_gone), CAST(array() AS array<struct<at: int, len: int>>), (a, g) ->"
+    " IF(size(a) > 0 AND try_element_at(a, -1).at + try_element_at(a, -1).len >= g.at, concat(slice(a, 1, size(a) - 1), array(named_struct("
+    "'at', try_element_at(a, -1).at, 'len', greatest(try_element_at(a, -1).len, g.at + g.len - try_element_at(a, -1).at)))), concat(a, array(g))))"
+)
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with its texts reduced, and the columns ``n_lines`` and ``n_removed`` (long)."""
-    rest = [c for c in docs.columns if c not in (id_column, text_column)]
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.lit(0).alias("_")).alias("_rest"))
-    known, unknown = rows.where("_id IS NOT NULL"), rows.where("_id IS NULL")
+    """``docs`` with its texts reduced by chunks, and the columns ``n_lines`` and ``n_removed`` (long)."""
+    return _without(docs, id_column, text_column, _chunks)
 
+
+def passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """As ``dedup``, for every passage of two lines or more."""
+    return _without(docs, id_column, text_column, _pairs)
+
+
+def _chunks(known: DataFrame) -> DataFrame:
     lines = known.select("_id", F.expr(_LINES).alias("_lines")).withColumn("_h", F.expr(f"transform(_lines, x -> {_HASH})"))
     starts = lines.withColumn("_r", F.expr(_ROLLING)).withColumn("_s", F.expr(_STARTS))
-    found = starts.where("size(_lines) > 1").select(
+    return starts.where("size(_lines) > 1").select(
         "_id",
         F.expr(
             "inline(filter(transform(_s, (a, k) -> struct(a AS at, coalesce(get(_s, k + 1), size(_lines)) - a AS len,"
             " md5(array_join(slice(_lines, a + 1, coalesce(get(_s, k + 1), size(_lines)) - a), '\\n')) AS digest)), c -> c.len > 1))"
         ),
     )
-    found = materialize(found)
+
+
+def _pairs(known: DataFrame) -> DataFrame:
+    # explode keeps the lines from being split again for every pair
+    lines = known.select("_id", F.explode(F.expr(f"array({_LINES})")).alias("_lines"))
+    return lines.select("_id", "_lines", F.explode(F.expr(f"array({_FILLED})")).alias("_k")).where("size(_k) > 1").select(
+        "_id",
+        F.expr(
+            "inline(transform(sequence(0, size(_k) - 2), j -> struct(_k[j] AS at, _k[j + 1] - _k[j] + 1 AS len,"
+            " md5(array_join(slice(_lines, _k[j] + 1, _k[j + 1] - _k[j] + 1), '\\n')) AS digest)))"
+        ),
+    )
+
+
+def _without(docs: DataFrame, id_column: str, text_column: str, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    rest = [c for c in docs.columns if c not in (id_column, text_column)]
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.lit(0).alias("_")).alias("_rest"))
+    known, unknown = rows.where("_id IS NOT NULL"), rows.where("_id IS NULL")
+
+    found = materialize(find(known))
     groups = found.groupBy("digest").agg(F.min(F.struct("_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = materialize(found.join(groups, "digest"))
     lists = again.groupBy("_id").agg(F.collect_list(F.struct("at", "len", "digest")).alias("_chunks"))
     pieces = known.select("_id", "_text", "_rest").join(lists, "_id").select(F.expr(_LINES).alias("_lines"), F.explode("_chunks").alias("c"))
     pieces = pieces.select("c.digest", F.expr("array_join(slice(_lines, c.at + 1, c.len), '\\n')").alias("bytes"))
     same = pieces.groupBy("digest").agg(F.min("bytes").alias("a"), F.max("bytes").alias("z")).where("a = z").select("digest")
-    gone = again.where("NOT (first._id = _id AND first.at = at) AND first._id <> _id OR first._id = _id AND first.at <> at").join(same, "digest", "left_semi")
-    gone = gone.groupBy("_id").agg(F.collect_set(F.struct("at", "len")).alias("_gone"))
+    gone = again.where("first._id <> _id OR at >= first.at + len").join(same, "digest", "left_semi")
+    gone = gone.groupBy("_id").agg(F.collect_set(F.struct("at", "len")).alias("_gone")).withColumn("_gone", F.expr(_MERGED))
     out = known.select("_id", "_text", "_rest").join(gone, "_id", "left").unionByName(unknown.withColumn("_gone", F.lit(None).cast("array<struct<at:int,len:int>>")))
     kept = f"filter({_LINES}, (x, i) -> NOT exists(_gone, g -> i >= g.at AND i < g.at + g.len))"
     n_gone = "coalesce(aggregate(_gone, 0L, (n, g) -> n + g.len), 0L)"

@@ -132,3 +132,34 @@ def test_entries_hold_from_their_date(spark):
     entries = spark.createDataFrame([("b.org", d.date(2024, 1, 1), "block"), ("a.b.org", d.date(2024, 2, 1), "allow"), ("b.org", d.date(2024, 3, 1), "remove"), (None, None, None)], "domain string, listed_on date, action string")
     got = {r.page_id: r.verdict for r in urlfilter.judge(spark, captures, entries).collect()}
     assert got == {1: "block", 2: "allow", 3: "none", 4: "none"}
+
+
+def passages_by_brute_force(texts):
+    first, gone = {}, {i: set() for i in texts}
+    for i, t in sorted(texts.items()):
+        lines = t.split("\n")
+        filled = [j for j, line in enumerate(lines) if line.strip(" \t\r")]
+        for a, z in zip(filled, filled[1:]):
+            doc, at = first.setdefault("\n".join(lines[a : z + 1]), (i, a))
+            if doc != i or a > at + z - a:
+                gone[i].update(range(a, z + 1))
+    return {i: ("\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[i]), len(gone[i])) for i, t in texts.items()}
+
+
+def test_every_repeated_passage_goes(spark):
+    r = random.Random(8)
+    texts = {}
+    for n in (2, 3, 4, 5):
+        passage = [f"passage {n} line {j}" for j in range(n)]
+        for i in range(20):
+            texts[len(texts)] = "\n".join([f"own {n} {i} {j}" for j in range(r.randrange(1, 5))] + passage + [f"after {n} {i} {j}" for j in range(r.randrange(1, 5))])
+    for i in range(40):
+        texts[len(texts)] = "\n".join(r.choice(["a", "b", "c", "d", "", " "]) for _ in range(r.randrange(9)))
+    texts |= {len(texts): "single\n\nx0", len(texts) + 1: "single\n\ny0", len(texts) + 2: "same\nsame\nsame"}
+    docs = spark.createDataFrame([*texts.items(), (None, texts[1]), (999, None)], "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.text, x.n_removed) for x in linededup.passages(docs).collect()}
+    assert got.pop(None) == (texts[1], 0) and got.pop(999) == (None, 0)
+    assert got == passages_by_brute_force(texts)
+    assert all(sum(f"passage {n} line {j}" in t for t, _ in got.values()) == 1 for n in (2, 3, 4, 5) for j in range(n))
+    kept = {line for t, _ in got.values() for line in t.split("\n")}
+    assert all(line in kept for t in texts.values() for line in t.split("\n") if line.strip())
