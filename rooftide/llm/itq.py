@@ -4,9 +4,12 @@ Rotations learned on a bounded sample (``SAMPLE`` vectors, those with the
 smallest hash of their id) turn centred unit vectors into balanced binary
 codes. A code is cut into pieces; each piece indexes one table, and vectors
 that agree on a piece meet. The pieces' bits grow with the logarithm of the
-number of vectors, so buckets keep their size, and the number of tables is set
-so that a pair at the threshold meets with probability ``MEET`` at least, if
-bits were independent. Meeting pairs are reranked by cosine in double precision
+number of vectors, so buckets keep their size. Centring widens the angle of
+vectors that share a mean, so the number of tables comes from pairs at the
+threshold made from the sample: of the ``LEAST`` share of them whose centred
+angles are the widest, ``MEET`` at least must meet, by angle and then counted
+with the codes in use. Where that asks for many tables, shorter pieces are
+taken if they cost less, down to none: then all pairs are compared. Meeting pairs are reranked by cosine in double precision
 over the original vectors, so nothing below the threshold links.
 
 Equal vectors form classes first and count by their number. A pair is counted
@@ -35,13 +38,72 @@ from rooftide.llm.jaccard import forest
 from rooftide.llm.shared import connected_components, materialize
 
 SAMPLE, ROUNDS, MEET, BUCKET = 10_000, 30, 0.995, 1024
-
-
-def shape(n: int, threshold: float) -> tuple[int, int]:
-    """Bits of a piece, and tables, for ``n`` vectors."""
-    bits = int(np.clip(round(np.log2(max(n, 2))) - 4, 6, 24))
-    agree = (1 - np.arccos(threshold) / np.pi) ** bits
-    return bits, int(np.ceil(np.log(1 - MEET) / np.log(1 - agree)))
+#: The share of made pairs that must meet as well, tables before shorter pieces are weighed, and what a row in a table costs in compared pairs.
+LEAST, MANY, ROW = 0.1, 32, 256
+
+
+def made(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors at the threshold: each of ``x`` with one in a random direction, and with one towards another of ``x``."""
+    rng = np.random.default_rng(7)
+    a, g = np.concatenate([x, x]), np.concatenate([rng.standard_normal(x.shape), x[rng.permutation(len(x))]])
+    g = g - (g * a).sum(1)[:, None] * a
+    size = np.sqrt((g * g).sum(1))
+    a, g, size = a[size > 1e-6], g[size > 1e-6], size[size > 1e-6]
+    return a, threshold * a + np.sqrt(1 - threshold**2) * g / size[:, None]
+
+
+def widest(a: np.ndarray, b: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs with the widest centred angles, and the share of bits on which each agrees."""
+    u, v = a - mean, b - mean
+    cos = (u * v).sum(1) / np.maximum(np.sqrt((u * u).sum(1) * (v * v).sum(1)), 1e-300)
+    agree = 1 - np.arccos(np.clip(cos, -1, 1)) / np.pi
+    worst = np.argsort(agree, kind="stable")[: int(np.ceil(LEAST * len(agree)))]
+    return a[worst], b[worst], agree[worst]
+
+
+def tables_for(agree: np.ndarray, bits: int, most: int) -> int:
+    """The least number of tables in which ``MEET`` of the pairs meet, or more than ``most``."""
+    apart = 1 - agree**bits
+    low, high = 0, 1
+    while (apart**high).mean() > 1 - MEET:
+        low, high = high, 2 * high
+        if low > most:
+            return low
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if (apart**mid).mean() > 1 - MEET else (low, mid)
+    return high
+
+
+def cost(n: int, bits: int, tables: int) -> float:
+    return tables * (ROW + n / 2**bits)
+
+
+def shape(n: int, dims: int, agree: np.ndarray) -> tuple[int, int]:
+    """Bits of a piece, and tables, for ``n`` vectors; no bits for one table of all."""
+    bits = min(int(np.clip(round(np.log2(max(n, 2))) - 4, 6, 24)), dims)
+    if len(agree) == 0:
+        return bits, 1
+    tables = tables_for(agree, bits, MANY)
+    if tables <= MANY:
+        return bits, tables
+    return min(((b, tables_for(agree, b, ROW + n)) for b in range(bits + 1)), key=lambda s: cost(n, *s))
+
+
+def fit(x: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, list[np.ndarray], int, int]:
+    """Mean, projections, bits and tables from a sample ``x`` of ``n`` unit vectors."""
+    mean = x.mean(0)
+    a, b, agree = widest(*made(x, threshold), mean)
+    bits, tables = shape(n, x.shape[1], agree)
+    while bits:
+        codes = learn(x, -(-tables // (x.shape[1] // bits)))
+        met = (pieces(a, *codes, bits, tables) == pieces(b, *codes, bits, tables)).any(1)
+        if met.size == 0 or met.mean() >= MEET:
+            return *codes, bits, tables
+        tables += -(-tables // 4)
+        if cost(n, bits, tables) > cost(n, 0, 1):
+            bits = 0
+    return mean, [], 0, 1
 
 
 def learn(x: np.ndarray, codes: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -62,6 +124,8 @@ def learn(x: np.ndarray, codes: int) -> tuple[np.ndarray, list[np.ndarray]]:
 
 def pieces(x: np.ndarray, mean: np.ndarray, projections: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
     """The key of each vector in each table."""
+    if not bits:
+        return np.zeros((len(x), 1), np.int32)
     unit = x / np.sqrt((x * x).sum(1))[:, None] - mean
     code = np.concatenate([(unit @ p >= 0)[:, : p.shape[1] // bits * bits] if p.shape[1] >= bits else unit @ p >= 0 for p in projections], axis=1)
     code = code[:, : code.shape[1] // bits * bits].reshape(len(x), -1, bits)[:, :tables]
@@ -92,9 +156,8 @@ def link(vectors: DataFrame, threshold: float = 0.95, id_column: str = "vec_id",
         none = "CAST(0 AS BIGINT)"
         return rows.select(F.col("id").alias(id_column), F.expr(none).alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     x = matrix(spread.column("v"))
-    bits, tables = shape(n, threshold)
-    bits = min(bits, dims)
-    model = vectors.sparkSession.sparkContext.broadcast(learn(x / np.sqrt((x * x).sum(1))[:, None], -(-tables // (dims // bits))))
+    *codes, bits, tables = fit(x / np.sqrt((x * x).sum(1))[:, None], n, threshold)
+    model = vectors.sparkSession.sparkContext.broadcast(codes)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -99,6 +99,21 @@ def test_chunks_of_a_bucket_cover_all_pairs(spark, monkeypatch):
     assert all(got[i].n_links == 0 and got[i].kept for i in (201, 202, 203, 204))
 
 
+@pytest.mark.parametrize("common", [0.0, 0.7, 0.9, 0.99])
+def test_links_of_vectors_with_a_common_mean_are_found(spark, common):
+    r = np.random.default_rng(5)
+    x = r.standard_normal((900, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = common * np.eye(64)[0] + np.sqrt(1 - common**2) * x
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    g = r.standard_normal((300, 64))
+    g -= (g * x[:300]).sum(1)[:, None] * x[:300]
+    x = np.concatenate([x, 0.952 * x[:300] + np.sqrt(1 - 0.952**2) * g / np.linalg.norm(g, axis=1)[:, None]])
+    got = {v.vec_id: v.n_links for v in itq.link(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= n for i, n in enumerate(want))
+
+
 def test_nearest_rows_and_ties(spark):
     r = np.random.default_rng(2)
     x = r.standard_normal((300, 12))
