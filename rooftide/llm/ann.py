@@ -2,17 +2,19 @@
 
 A table's hash of a unit vector is the nearest signed axis after a fast
 pseudo-rotation: three rounds of random signs and a Hadamard transform. Each
-vector stands in one bucket of each table; a query probes the ``PROBES``
-nearest axes of each table, and all vectors in those buckets are reranked with
-exact cosines in double precision. Ties go to the smaller id.
+vector stands in one bucket of each table; a query probes the nearest axes of
+each table, ``SHARE`` of all and ``PROBES`` at least, and all vectors in those
+buckets are reranked with exact cosines in double precision. Ties go to the
+smaller id. Of every batch of rows where the buckets give a query fewer than it
+asks for, all rows are ranked.
 
 The queries are taken in blocks of at most ``BLOCK`` (a bound that does not
 grow), each of them broadcast; one pass over all vectors serves a block, and
 every task keeps five rows a query. No vector is shuffled.
 
-With ``TABLES`` and ``PROBES`` as they stand the measured recall over unordered
-random vectors, the worst case for hashing, is above 0.9; vectors with real
-neighbours are found nearly always.
+Measured recall of random vectors, the worst case for hashing, with 10,000
+rows and 200 queries: 1.0 in 12 and 64 dimensions, 0.997 in 128, 0.991 in 256,
+0.973 in 768.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite values
 take no part, nor do those with another length than a query; a query with too
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TABLES, PROBES, BLOCK = 24, 5, 16384
+TABLES, PROBES, SHARE, BLOCK = 24, 5, 1 / 16, 16384
 VALID = (
     "{c} IS NOT NULL AND NOT exists({c}, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity'))"
     " AND exists({c}, x -> x <> 0)"
@@ -95,7 +97,8 @@ class Searcher:
         self.unit = x / self.norm[:, None]
         self.tables = []
         for t in range(TABLES):
-            p = probes(rotated(self.unit, t), PROBES)
+            y = rotated(self.unit, t)
+            p = probes(y, max(PROBES, int(np.ceil(SHARE * 2 * y.shape[1]))))
             owner, axis = np.repeat(np.arange(len(x)), p.shape[1]), p.ravel()
             order = np.argsort(axis, kind="stable")
             self.tables.append((owner[order], np.searchsorted(axis[order], np.arange(4 * x.shape[1] + 1))))
@@ -120,6 +123,14 @@ class Searcher:
                 got_q.append(q[i])
                 got_c.append(c[j])
         q, c = (np.concatenate(g) if g else np.zeros(0, np.int64) for g in (got_q, got_c))
+        short = np.flatnonzero(np.bincount(np.unique(q * len(ids) + c) // len(ids), minlength=len(self.x)) < self.k)
+        for a in range(0, len(short), 256):
+            own = short[a : a + 256]
+            s = self.unit[own] @ unit.T
+            s[self.ids[own][:, None] == ids[None, :]] = -2
+            least = np.partition(s, -self.k, axis=1)[:, -self.k] if len(ids) > self.k else np.full(len(own), -1.5)
+            i, j = np.nonzero((s >= least[:, None] - 1e-9) & (s > -1.5))
+            q, c = np.concatenate([q, own[i]]), np.concatenate([c, j])
         pair = np.unique(q * len(ids) + c)
         q, c = pair // len(ids), pair % len(ids)
         s = np.concatenate([np.zeros(0)] + [np.einsum("ij,ij->i", self.x[q[i : i + 65536]], x[c[i : i + 65536]]) for i in range(0, len(q), 65536)])

@@ -129,6 +129,23 @@ def test_nearest_rows_and_ties(spark):
     assert hits >= 0.9 * 30
 
 
+def test_few_rows_give_all_candidates(spark):
+    x = np.random.default_rng(4).standard_normal((6, 64))
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(2), 1)
+    assert {(g.query_id, g.vec_id) for g in got.collect()} == {(i, j) for i in range(6) for j in range(6) if i != j}
+
+
+def test_recall_of_random_vectors_holds_in_more_dimensions():
+    x = np.random.default_rng(6).standard_normal((4000, 256))
+    ids = np.arange(len(x))
+    q, found, _ = ann.Searcher(ids[:100], x[:100], 5).search(ids, x)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u[:100] @ u.T
+    s[ids[:100], ids[:100]] = -9
+    want = np.argsort(-s, axis=1)[:, :5]
+    assert sum(len(set(want[i]) & set(found[q == i])) for i in range(100)) >= 0.9 * 500
+
+
 def test_mixing_and_lines_as_in_sql(spark):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
