@@ -55,7 +55,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Fitted models and set similarity are beyond SQL; tests hold the stages against brute force.
+#: Fitted models and set similarity are beyond SQL; no test checks the rows of the whole pipeline.
 ORACLE_SQL = None
 
 
