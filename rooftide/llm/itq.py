@@ -18,15 +18,18 @@ are worked through in sorted order; larger ones are cut into parts and each
 pair of parts is a task of its own. Tasks give counts and a spanning forest of
 the links, never the pairs.
 
+Vectors of each length are fitted and indexed on their own, as vectors of two
+lengths never link.
+
 Defined cases: vectors that are null, zero, or hold null or non-finite values
-link with nothing, nor do those whose length is not the most frequent one; rows
-with a null id have no component; repeated rows are vectors of their own that
+link with nothing; rows with a null id have no component; repeated rows are vectors of their own that
 share a node; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -82,8 +85,6 @@ def cost(n: int, bits: int, tables: int) -> float:
 def shape(n: int, dims: int, agree: np.ndarray) -> tuple[int, int]:
     """Bits of a piece, and tables, for ``n`` vectors; no bits for one table of all."""
     bits = min(int(np.clip(round(np.log2(max(n, 2))) - 4, 6, 24)), dims)
-    if len(agree) == 0:
-        return bits, 1
     tables = tables_for(agree, bits, MANY)
     if tables <= MANY:
         return bits, tables
@@ -94,11 +95,11 @@ def fit(x: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, list[np.nd
     """Mean, projections, bits and tables from a sample ``x`` of ``n`` unit vectors."""
     mean = x.mean(0)
     a, b, agree = widest(*made(x, threshold), mean)
-    bits, tables = shape(n, x.shape[1], agree)
+    bits, tables = shape(n, x.shape[1], agree) if len(agree) else (0, 1)
     while bits:
         codes = learn(x, -(-tables // (x.shape[1] // bits)))
         met = (pieces(a, *codes, bits, tables) == pieces(b, *codes, bits, tables)).any(1)
-        if met.size == 0 or met.mean() >= MEET:
+        if met.mean() >= MEET:
             return *codes, bits, tables
         tables += -(-tables // 4)
         if cost(n, bits, tables) > cost(n, 0, 1):
@@ -147,17 +148,34 @@ def link(vectors: DataFrame, threshold: float = 0.95, id_column: str = "vec_id",
     """Returns ``id_column, n_links, component_id, kept`` for every row of ``vectors``."""
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
     good = rows.where("id IS NOT NULL AND " + VALID.format(c="v"))
-    common = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dims = common.n if common else 0
-    classes = materialize(good.where(F.size("v") == dims).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    n = classes.count()
-    spread = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow()
-    if n == 0:
+    sizes = sorted(r.n for r in good.select(F.size("v").alias("n")).distinct().collect())
+    classes = [materialize(good.where(F.size("v") == n).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))) for n in sizes]
+    if not classes:
         none = "CAST(0 AS BIGINT)"
         return rows.select(F.col("id").alias(id_column), F.expr(none).alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
+    found = reduce(DataFrame.unionByName, [_links(c, n, threshold) for c, n in zip(classes, sizes, strict=True)])
+    classes = reduce(DataFrame.unionByName, classes)
+    parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
+    known = classes.join(links, "rep", "left").join(parts, "rep", "left").select(
+        "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+    )
+    whole = rows.join(known, "v", "left")
+    return whole.select(
+        F.col("id").alias(id_column),
+        F.expr("CAST(IF(id IS NULL, 0, coalesce(n_links, 0)) AS BIGINT)").alias("n_links"),
+        F.expr("IF(id IS NULL, NULL, coalesce(component_id, id))").alias("component_id"),
+        F.expr("id IS NOT NULL AND id = coalesce(component_id, id)").alias("kept"),
+    )
+
+
+def _links(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
+    """``id, links, root`` of the classes of one length that link: counts, and edges of a forest."""
+    n = classes.count()
+    spread = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow()
     x = matrix(spread.column("v"))
     *codes, bits, tables = fit(x / np.sqrt((x * x).sum(1))[:, None], n, threshold)
-    model = vectors.sparkSession.sparkContext.broadcast(codes)
+    model = classes.sparkSession.sparkContext.broadcast(codes)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,16 +236,4 @@ def link(vectors: DataFrame, threshold: float = 0.95, id_column: str = "vec_id",
     cut = met.join(big, ["table", "key"]).withColumn("p", F.expr("pmod(xxhash64(rep), parts)"))
     cut = cut.withColumn("o", F.explode(F.expr("sequence(0L, parts - 1)"))).withColumn("side", F.expr("IF(p > o, 1, 0)"))
     large = cut.groupBy("table", "key", F.least("p", "o").alias("a"), F.greatest("p", "o").alias("b")).applyInArrow(part, schema)
-    found = materialize(small.unionByName(large))
-    parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
-    known = classes.join(links, "rep", "left").join(parts, "rep", "left").select(
-        "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
-    )
-    whole = rows.join(known, "v", "left")
-    return whole.select(
-        F.col("id").alias(id_column),
-        F.expr("CAST(IF(id IS NULL, 0, coalesce(n_links, 0)) AS BIGINT)").alias("n_links"),
-        F.expr("IF(id IS NULL, NULL, coalesce(component_id, id))").alias("component_id"),
-        F.expr("id IS NOT NULL AND id = coalesce(component_id, id)").alias("kept"),
-    )
+    return materialize(small.unionByName(large))

@@ -114,6 +114,15 @@ def test_links_of_vectors_with_a_common_mean_are_found(spark, common):
     assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= n for i, n in enumerate(want))
 
 
+def test_vectors_of_every_length_link(spark):
+    r = np.random.default_rng(9)
+    a, b = r.standard_normal((5, 16)), r.standard_normal((3, 8))
+    vectors = [*enumerate(a.tolist()), *((10 + i, v) for i, v in enumerate(b.tolist())), (20, b[1].tolist()), (21, (b[2] * 2).tolist()), (22, a[0].tolist()), (23, [1.0])]
+    got = {g.vec_id: (g.n_links, g.component_id) for g in itq.link(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()}
+    alone = {i: (0, i) for i in (1, 2, 3, 4, 10, 23)}
+    assert got == alone | {0: (1, 0), 22: (1, 0), 11: (1, 11), 20: (1, 11), 12: (1, 12), 21: (1, 12)}
+
+
 def test_nearest_rows_and_ties(spark):
     r = np.random.default_rng(2)
     x = r.standard_normal((300, 12))
