@@ -1,7 +1,9 @@
-"""Materialised intermediate tables and distributed connected components."""
+"""Materialised intermediate tables, joins with hot keys, and distributed connected components."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,14 +14,32 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` names it; only where that is unset (tests, one
-    machine) a temporary folder takes its place.
+    ``spark.checkpoint.dir`` names it. Where that is unset a temporary folder
+    takes its place on one machine, until Python ends; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="rooftide-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if spark.sparkContext.applicationId not in _LOCAL:
+        _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="rooftide-")
+        atexit.register(shutil.rmtree, _LOCAL[spark.sparkContext.applicationId], ignore_errors=True)
+    return "file://" + _LOCAL[spark.sparkContext.applicationId]
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def own_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables stand."""
+    return f"{shared_dir(spark)}/rooftide-{spark.sparkContext.applicationId}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results that haven't been written yet can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Files that a small intermediate table is written to at most, and the rows of a file of a larger one.
@@ -34,13 +54,31 @@ def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     rows of ``df``; the number of files follows from it, so that small tables
     don't become one tiny file for each shuffle partition.
     """
-    path = f"{shared_dir(df.sparkSession)}/rooftide/{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(FILES, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that hold more than one in ``HOT`` of all rows are hot; there are fewer than ``HOT`` of them.
+HOT = 1024
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Join of many rows with a table that has each key once, and in ``weight`` how many rows of ``left`` have it.
+
+    Hot keys are broadcast, which the definition of ``HOT`` bounds, so their
+    rows stay where they are; the other keys are joined by shuffle. Both sides
+    are read more than once. ``how`` is ``inner`` or ``left``.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = right.where(F.col(weight) * HOT > total)
+    cold = right.where(F.col(weight) * HOT <= total)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return left.join(F.broadcast(hot), on).unionByName(rest.join(cold, on, how))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of the graph whose edges are the rows ``(a long, b long)``.
 
@@ -51,8 +89,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round hangs every node on its smallest neighbour, shortens the paths
     by pointer doubling, and contracts the edges; a star needs one round and a
     long chain a logarithmic number. Only aggregations with partial results
-    and equi-joins are used, so a node with very many neighbours is never
-    gathered in one place.
+    and equi-joins are used; the edges of a node with very many neighbours meet
+    in one partition of a join, which adaptive execution splits when it is large.
     """
     e = materialize(
         edges.where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
