@@ -9,8 +9,13 @@ vectors that share a mean, so the number of tables comes from pairs at the
 threshold made from the sample: of the ``LEAST`` share of them whose centred
 angles are the widest, ``MEET`` at least must meet, by angle and then counted
 with the codes in use. Where that asks for many tables, shorter pieces are
-taken if they cost less, down to none: then all pairs are compared. Meeting pairs are reranked by cosine in double precision
-over the original vectors, so nothing below the threshold links.
+taken if they cost less, down to none: then all pairs are compared.
+
+Codes are dealt to the tables first. In each bucket a vector stays only if
+another's code lies within a Hamming radius, which all made pairs keep and a
+tenth more; of those that stay, the vectors follow and are reranked by cosine
+in double precision, so nothing below the threshold links. Vectors without
+anything near are thus shuffled as codes only.
 
 Equal vectors form classes first and count by their number. A pair is counted
 only in the first table where it meets. Buckets of at most ``BUCKET`` classes
@@ -19,7 +24,8 @@ pair of parts is a task of its own. Tasks give counts and a spanning forest of
 the links, never the pairs.
 
 Vectors of each length are fitted and indexed on their own, as vectors of two
-lengths never link.
+lengths never link. They are scaled by a power of two before they are squared,
+so that large and small components neither overflow nor vanish.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite values
 link with nothing; rows with a null id have no component; repeated rows are vectors of their own that
@@ -36,9 +42,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rooftide.llm.ann import VALID, matrix
+from rooftide.llm.ann import VALID, matrix, norms, scaled
 from rooftide.llm.jaccard import forest
-from rooftide.llm.shared import connected_components, materialize
+from rooftide.llm.shared import connected_components, join_hot, materialize
 
 SAMPLE, ROUNDS, MEET, BUCKET = 10_000, 30, 0.995, 1024
 #: The share of made pairs that must meet as well, tables before shorter pieces are weighed, and what a row in a table costs in compared pairs.
@@ -91,20 +97,19 @@ def shape(n: int, dims: int, agree: np.ndarray) -> tuple[int, int]:
     return min(((b, tables_for(agree, b, ROW + n)) for b in range(bits + 1)), key=lambda s: cost(n, *s))
 
 
-def fit(x: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, list[np.ndarray], int, int]:
-    """Mean, projections, bits and tables from a sample ``x`` of ``n`` unit vectors."""
-    mean = x.mean(0)
-    a, b, agree = widest(*made(x, threshold), mean)
+def fit(x: np.ndarray, n: int, threshold: float) -> tuple[tuple, int, int, int]:
+    """Mean and projections, bits, tables and Hamming radius from a sample ``x`` of ``n`` unit vectors."""
+    a, b, agree = widest(*made(x, threshold), x.mean(0))
     bits, tables = shape(n, x.shape[1], agree) if len(agree) else (0, 1)
     while bits:
         codes = learn(x, -(-tables // (x.shape[1] // bits)))
-        met = (pieces(a, *codes, bits, tables) == pieces(b, *codes, bits, tables)).any(1)
-        if met.mean() >= MEET:
-            return *codes, bits, tables
+        u, v = code(a, *codes, bits, tables), code(b, *codes, bits, tables)
+        if (keys_of(u, bits) == keys_of(v, bits)).any(1).mean() >= MEET:
+            return codes, bits, tables, int(np.ceil(1.1 * (u != v).sum(1).max()))
         tables += -(-tables // 4)
         if cost(n, bits, tables) > cost(n, 0, 1):
             bits = 0
-    return mean, [], 0, 1
+    return (x.mean(0), []), 0, 1, 0
 
 
 def learn(x: np.ndarray, codes: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -123,19 +128,51 @@ def learn(x: np.ndarray, codes: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return mean, out
 
 
-def pieces(x: np.ndarray, mean: np.ndarray, projections: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
+def code(x: np.ndarray, mean: np.ndarray, projections: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
+    """The bits of each vector: ``bits`` for each of ``tables``."""
+    if not bits:
+        return np.zeros((len(x), 0), bool)
+    unit = scaled(x)
+    unit = unit / norms(unit)[:, None] - mean
+    whole = [(unit @ p >= 0)[:, : p.shape[1] // bits * bits] for p in projections]
+    return np.concatenate(whole, axis=1)[:, : bits * tables]
+
+
+def keys_of(bit: np.ndarray, bits: int) -> np.ndarray:
     """The key of each vector in each table."""
     if not bits:
-        return np.zeros((len(x), 1), np.int32)
-    unit = x / np.sqrt((x * x).sum(1))[:, None] - mean
-    code = np.concatenate([(unit @ p >= 0)[:, : p.shape[1] // bits * bits] if p.shape[1] >= bits else unit @ p >= 0 for p in projections], axis=1)
-    code = code[:, : code.shape[1] // bits * bits].reshape(len(x), -1, bits)[:, :tables]
-    return (code * (1 << np.arange(bits))).sum(2).astype(np.int32)
+        return np.zeros((len(bit), 1), np.int32)
+    return (bit.reshape(len(bit), -1, bits) * (1 << np.arange(bits))).sum(2).astype(np.int32)
+
+
+def packed(bit: np.ndarray) -> pa.Array:
+    """Bits as binary values."""
+    flat = np.packbits(bit, axis=1)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(flat.shape[1]), len(flat), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary()) if flat.shape[1] else pa.array([b""] * len(flat), pa.binary())
+
+
+def unpacked(col: pa.Array, n: int) -> np.ndarray:
+    """The ``n`` bits of binary values."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    if not n:
+        return np.zeros((len(col), 0), bool)
+    flat = np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), -1)
+    return np.unpackbits(flat, axis=1, count=n).astype(bool)
+
+
+def near(bit: np.ndarray, radius: int) -> np.ndarray:
+    """Which rows have another within the Hamming radius."""
+    sign = np.where(bit, np.float32(1), np.float32(-1))
+    hit = sign @ sign.T >= bit.shape[1] - 2 * radius
+    np.fill_diagonal(hit, False)
+    return hit.any(1)
 
 
 def linked(x: np.ndarray, keys: np.ndarray, table: int, threshold: float) -> np.ndarray:
     """Which pairs reach the threshold and have not met in an earlier table."""
-    norm = np.sqrt((x * x).sum(1))
+    x = scaled(x)
+    norm = norms(x)
     hit = (x @ x.T) / (norm[:, None] * norm[None, :]) >= threshold
     np.fill_diagonal(hit, False)
     if table and hit.any():
@@ -144,6 +181,28 @@ def linked(x: np.ndarray, keys: np.ndarray, table: int, threshold: float) -> np.
     return hit
 
 
+def runs(batches: Iterator[pa.RecordBatch], held_rows: int) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Rows sorted by table and key, a few buckets at a time, with the ends of each bucket of two rows or more."""
+    held = None
+
+    def cut(t: pa.Table):
+        table, key = t.column("table").to_numpy(), t.column("key").to_numpy()
+        at = np.flatnonzero(np.concatenate([[True], (table[1:] != table[:-1]) | (key[1:] != key[:-1])]))
+        return t, [(a, z) for a, z in zip(at, np.append(at[1:], len(key)), strict=True) if z - a > 1]
+
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new])
+        if held.num_rows > held_rows:
+            table, key = held.column("table").to_numpy(), held.column("key").to_numpy()
+            last = int(np.flatnonzero((table != table[-1]) | (key != key[-1]))[-1]) + 1 if (table[0], key[0]) != (table[-1], key[-1]) else 0
+            if last:
+                yield cut(held.slice(0, last))
+                held = held.slice(last)
+    if held is not None and held.num_rows:
+        yield cut(held)
+
+
 def link(vectors: DataFrame, threshold: float = 0.95, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """Returns ``id_column, n_links, component_id, kept`` for every row of ``vectors``."""
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
@@ -158,9 +217,9 @@ def link(vectors: DataFrame, threshold: float = 0.95, id_column: str = "vec_id",
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
     known = classes.join(links, "rep", "left").join(parts, "rep", "left").select(
-        "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+        "v", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )
-    whole = rows.join(known, "v", "left")
+    whole = join_hot(rows, materialize(known), ["v"], "copies", "left")
     return whole.select(
         F.col("id").alias(id_column),
         F.expr("CAST(IF(id IS NULL, 0, coalesce(n_links, 0)) AS BIGINT)").alias("n_links"),
@@ -173,67 +232,61 @@ def _links(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
     """``id, links, root`` of the classes of one length that link: counts, and edges of a forest."""
     n = classes.count()
     spread = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow()
-    x = matrix(spread.column("v"))
-    *codes, bits, tables = fit(x / np.sqrt((x * x).sum(1))[:, None], n, threshold)
+    x = scaled(matrix(spread.column("v")))
+    codes, bits, tables, radius = fit(x / norms(x)[:, None], n, threshold)
     model = classes.sparkSession.sparkContext.broadcast(codes)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = pieces(matrix(batch.column("v")), *model.value, bits, tables)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(keys), pa.list_(pa.int32()))], [*batch.schema.names, "keys"])
-
-    def results(x, keys, ids, copies, table):
-        hit = linked(x, keys, table, threshold)
-        if not hit.any():
-            return None
-        own = np.flatnonzero(hit.any(1))
-        return ids[own], (hit[own] * copies[None, :]).sum(1), ids[forest(hit[np.ix_(own, own)])] if len(own) == len(ids) else ids[own][forest(hit[np.ix_(own, own)])]
+                bit = code(matrix(batch.column("v")), *model.value, bits, tables)
+                keys = keys_of(bit, bits)
+                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), keys.ravel())
+                yield pa.RecordBatch.from_arrays([*batch.columns, packed(bit), lists], [*batch.schema.names, "code", "keys"])
+
+    def staying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, ends in runs(batches, 16 * BUCKET):
+            keep, bit = np.zeros(t.num_rows, bool), unpacked(t.column("code"), bits * tables)
+            for a, z in ends:
+                keep[a:z] = near(bit[a:z], radius)
+            yield from t.select(["table", "key", "rep"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
     def batch_of(found: list) -> pa.RecordBatch:
         cols = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
         return pa.RecordBatch.from_pydict(dict(zip(("id", "links", "root"), (c.astype(np.int64) for c in cols), strict=True)))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        def work(t: pa.Table):
-            if not t.num_rows:
-                return batch_of([])
-            table, key = t.column("table").to_numpy(), t.column("key").to_numpy()
-            ids, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
-            x, keys = matrix(t.column("v")), np.array(t.column("keys").to_pylist(), np.int32)
-            cut = np.flatnonzero(np.concatenate([[True], (table[1:] != table[:-1]) | (key[1:] != key[:-1])]))
-            runs = [(a, z) for a, z in zip(cut, np.append(cut[1:], len(key)), strict=True) if z - a > 1]
-            return batch_of([f for a, z in runs if (f := results(x[a:z], keys[a:z], ids[a:z], copies[a:z], int(table[a]))) is not None])
-
-        for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if held.num_rows > 4 * BUCKET:
-                table, key = held.column("table").to_numpy(), held.column("key").to_numpy()
-                last = int(np.flatnonzero((table != table[-1]) | (key != key[-1]))[-1]) + 1 if (table[0], key[0]) != (table[-1], key[-1]) else 0
-                if last:
-                    yield work(held.slice(0, last))
-                    held = held.slice(last)
-        if held is not None:
-            yield work(held)
+        for t, ends in runs(batches, 4 * BUCKET):
+            table, ids, copies = (t.column(c).to_numpy() for c in ("table", "rep", "copies"))
+            x, keys, found = matrix(t.column("v")), keys_of(unpacked(t.column("code"), bits * tables), bits), []
+            for a, z in ends:
+                hit = linked(x[a:z], keys[a:z], int(table[a]), threshold)
+                own = np.flatnonzero(hit.any(1))
+                if len(own):
+                    few, at = hit[np.ix_(own, own)], ids[a:z][own]
+                    found.append((at, (few * copies[a:z][own][None, :]).sum(1), at[forest(few)]))
+            yield batch_of(found)
 
     def part(t: pa.Table) -> pa.Table:
         ids, copies, side = (t.column(c).to_numpy() for c in ("rep", "copies", "side"))
-        x, keys = matrix(t.column("v")), np.array(t.column("keys").to_pylist(), np.int32)
-        hit = linked(x, keys, int(t.column("table")[0].as_py()), threshold)
+        hit = linked(matrix(t.column("v")), keys_of(unpacked(t.column("code"), bits * tables), bits), int(t.column("table")[0].as_py()), threshold)
         if (side == 1).any():
             hit &= side[:, None] != side[None, :]
         if not hit.any():
             return pa.Table.from_batches([batch_of([])])
         return pa.Table.from_batches([batch_of([(ids, (hit * copies[None, :]).sum(1), ids[forest(hit)])])])
 
-    keyed = materialize(classes.mapInArrow(index, "v array<double>, rep long, copies long, keys array<int>"))
-    met = keyed.select("v", "rep", "copies", "keys", F.posexplode("keys").alias("table", "key"))
-    counts = keyed.select(F.posexplode("keys").alias("table", "key")).groupBy("table", "key").count()
-    big = materialize(counts.where(F.col("count") > BUCKET).withColumn("parts", F.ceil(F.col("count") / (BUCKET // 2))).drop("count"))
+    keyed = materialize(classes.mapInArrow(index, "v array<double>, rep long, copies long, code binary, keys array<int>"))
+    dealt = keyed.select("rep", "code", F.posexplode("keys").alias("table", "key"))
+    big = keyed.select(F.posexplode("keys").alias("table", "key")).groupBy("table", "key").count()
+    big = materialize(big.where(F.col("count") > BUCKET).withColumn("parts", F.ceil(F.col("count") / (BUCKET // 2))).drop("count"))
     schema = "id long, links long, root long"
-    small = met.join(big, ["table", "key"], "left_anti").repartition("table", "key").sortWithinPartitions("table", "key").mapInArrow(walk, schema)
-    cut = met.join(big, ["table", "key"]).withColumn("p", F.expr("pmod(xxhash64(rep), parts)"))
+    # of big buckets there are fewer than rows / BUCKET, each a few numbers
+    some = dealt.join(big, ["table", "key"], "left_anti").repartition("table", "key").sortWithinPartitions("table", "key")
+    stay = some.mapInArrow(staying, "table int, key int, rep long") if bits else some.select("table", "key", "rep")
+    own = keyed.select("rep", "v", "copies", "code")
+    small = stay.join(own, "rep").repartition("table", "key").sortWithinPartitions("table", "key").mapInArrow(walk, schema)
+    cut = dealt.drop("code").join(big, ["table", "key"]).join(own, "rep").withColumn("p", F.expr("pmod(xxhash64(rep), parts)"))
     cut = cut.withColumn("o", F.explode(F.expr("sequence(0L, parts - 1)"))).withColumn("side", F.expr("IF(p > o, 1, 0)"))
     large = cut.groupBy("table", "key", F.least("p", "o").alias("a"), F.greatest("p", "o").alias("b")).applyInArrow(part, schema)
     return materialize(small.unionByName(large))
