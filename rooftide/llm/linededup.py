@@ -16,15 +16,19 @@ blank lines around it is single. A later passage of any length is the union of
 its pairs, so it goes as a whole. A pair that overlaps the first occurrence
 stays. The first occurrence of every line with text always stays.
 
-Digests, not texts, are grouped, with partial counts before the shuffle. Texts
-are shuffled once, by id, and that exchange serves both the comparison and the
-final removal.
-
-Defined cases: null texts stay null and have no lines; empty texts are one
-empty line; rows with a null id are returned unchanged and keep nothing from
-being first; rows that share an id count as one place, so they don't remove
-each other's chunks; single lines are never removed; an empty table gives no
-rows. Other columns pass through, whatever their names.
+Digests, not texts, are grouped, with partial counts before the shuffle, and
+digests that very many places share are joined by broadcast
+(:func:`rooftide.llm.shared.join_hot`). Texts are shuffled once, to the places
+of their repeated chunks, and written; the comparison and the final removal both
+read that table.
+
+A row is known by its id and its text. Defined cases: rows that share an id
+keep their own chunks, and the one with the smaller digest of its text comes
+first; rows with equal id and text count as one place, so they lose the same
+chunks and don't remove each other's; null texts stay null and have no lines;
+empty texts are one empty line; rows with a null id are returned unchanged and
+keep nothing from being first; single lines are never removed; an empty table
+gives no rows. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +38,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rooftide.llm.shared import materialize
+from rooftide.llm.shared import join_hot, materialize
+
+#: What chunks meet by.
+DIGEST = "md5({x})"
 
 _HASH = "CAST(conv(substr(md5(x), 1, 8), 16, 10) AS BIGINT)"
 #: Starts of chunks, from the lines of a text.
@@ -62,25 +69,29 @@ def passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def _chunks(known: DataFrame) -> DataFrame:
-    lines = known.select("_id", F.expr(_LINES).alias("_lines")).withColumn("_h", F.expr(f"transform(_lines, x -> {_HASH})"))
+    lines = known.select("_id", "_m", F.expr(_LINES).alias("_lines")).withColumn("_h", F.expr(f"transform(_lines, x -> {_HASH})"))
     starts = lines.withColumn("_r", F.expr(_ROLLING)).withColumn("_s", F.expr(_STARTS))
+    bytes_ = "array_join(slice(_lines, a + 1, coalesce(get(_s, k + 1), size(_lines)) - a), '\\n')"
     return starts.where("size(_lines) > 1").select(
         "_id",
+        "_m",
         F.expr(
             "inline(filter(transform(_s, (a, k) -> struct(a AS at, coalesce(get(_s, k + 1), size(_lines)) - a AS len,"
-            " md5(array_join(slice(_lines, a + 1, coalesce(get(_s, k + 1), size(_lines)) - a), '\\n')) AS digest)), c -> c.len > 1))"
+            f" {DIGEST.format(x=bytes_)} AS digest)), c -> c.len > 1))"
         ),
     )
 
 
 def _pairs(known: DataFrame) -> DataFrame:
     # explode keeps the lines from being split again for every pair
-    lines = known.select("_id", F.explode(F.expr(f"array({_LINES})")).alias("_lines"))
-    return lines.select("_id", "_lines", F.explode(F.expr(f"array({_FILLED})")).alias("_k")).where("size(_k) > 1").select(
+    lines = known.select("_id", "_m", F.explode(F.expr(f"array({_LINES})")).alias("_lines"))
+    bytes_ = "array_join(slice(_lines, _k[j] + 1, _k[j + 1] - _k[j] + 1), '\\n')"
+    return lines.select("_id", "_m", "_lines", F.explode(F.expr(f"array({_FILLED})")).alias("_k")).where("size(_k) > 1").select(
         "_id",
+        "_m",
         F.expr(
             "inline(transform(sequence(0, size(_k) - 2), j -> struct(_k[j] AS at, _k[j + 1] - _k[j] + 1 AS len,"
-            " md5(array_join(slice(_lines, _k[j] + 1, _k[j + 1] - _k[j] + 1), '\\n')) AS digest)))"
+            f" {DIGEST.format(x=bytes_)} AS digest)))"
         ),
     )
 
@@ -88,18 +99,25 @@ def _pairs(known: DataFrame) -> DataFrame:
 def _without(docs: DataFrame, id_column: str, text_column: str, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
     rest = [c for c in docs.columns if c not in (id_column, text_column)]
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.lit(0).alias("_")).alias("_rest"))
-    known, unknown = rows.where("_id IS NOT NULL"), rows.where("_id IS NULL")
+    known = rows.where("_id IS NOT NULL").withColumn("_m", F.expr("coalesce(md5(_text), '')"))
+    unknown = rows.where("_id IS NULL")
 
     found = materialize(find(known))
-    groups = found.groupBy("digest").agg(F.min(F.struct("_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = materialize(found.join(groups, "digest"))
-    lists = again.groupBy("_id").agg(F.collect_list(F.struct("at", "len", "digest")).alias("_chunks"))
-    pieces = known.select("_id", "_text", "_rest").join(lists, "_id").select(F.expr(_LINES).alias("_lines"), F.explode("_chunks").alias("c"))
+    groups = materialize(found.groupBy("digest").agg(F.min(F.struct("_id", "_m", "at")).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    again = join_hot(found, groups, ["digest"], "n").withColumn("later", F.expr("first._id <> _id OR first._m <> _m OR at >= first.at + len"))
+    lists = again.groupBy("_id", "_m").agg(F.collect_set(F.struct("at", "len", "digest", "later")).alias("_chunks"))
+    out = materialize(known.join(lists, ["_id", "_m"], "left"))
+    pieces = out.select(F.expr(_LINES).alias("_lines"), F.explode("_chunks").alias("c"))
     pieces = pieces.select("c.digest", F.expr("array_join(slice(_lines, c.at + 1, c.len), '\\n')").alias("bytes"))
-    same = pieces.groupBy("digest").agg(F.min("bytes").alias("a"), F.max("bytes").alias("z")).where("a = z").select("digest")
-    gone = again.where("first._id <> _id OR at >= first.at + len").join(same, "digest", "left_semi")
-    gone = gone.groupBy("_id").agg(F.collect_set(F.struct("at", "len")).alias("_gone")).withColumn("_gone", F.expr(_MERGED))
-    out = known.select("_id", "_text", "_rest").join(gone, "_id", "left").unionByName(unknown.withColumn("_gone", F.lit(None).cast("array<struct<at:int,len:int>>")))
+    other = materialize(pieces.groupBy("digest").agg(F.min("bytes").alias("a"), F.max("bytes").alias("z")).where("a <> z").select("digest"))
+    left = "filter(_chunks, c -> c.later)"
+    if not other.isEmpty():
+        alone = out.select("_id", "_m", F.explode("_chunks.digest").alias("digest")).join(other, "digest").groupBy("_id", "_m").agg(F.collect_set("digest").alias("_alone"))
+        out = out.join(alone, ["_id", "_m"], "left")
+        left = "filter(_chunks, c -> c.later AND NOT coalesce(array_contains(_alone, c.digest), false))"
+    gone = F.expr(f"IF(size({left}) > 0, transform({left}, c -> named_struct('at', c.at, 'len', c.len)), NULL)")
+    out = out.select("_id", "_text", "_rest", gone.alias("_gone")).withColumn("_gone", F.expr(f"IF(_gone IS NULL, NULL, {_MERGED})"))
+    out = out.unionByName(unknown.withColumn("_gone", F.lit(None).cast("array<struct<at:int,len:int>>")))
     kept = f"filter({_LINES}, (x, i) -> NOT exists(_gone, g -> i >= g.at AND i < g.at + g.len))"
     n_gone = "coalesce(aggregate(_gone, 0L, (n, g) -> n + g.len), 0L)"
     return out.select(
@@ -113,15 +131,15 @@ def _without(docs: DataFrame, id_column: str, text_column: str, find: Callable[[
 
 #: The digest query for DuckDB, by rows and windows.
 ORACLE = """
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL),
+WITH l AS (SELECT doc_id, md5(text) AS m, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL) AS x),
 h AS (SELECT *, (CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) + 31 * coalesce(lag(CAST('0x' || substr(md5(line), 1, 8) AS BIGINT)) OVER w, 0)) % 4294967291 AS r
-      FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-b AS (SELECT *, CASE WHEN r < lag(r) OVER w AND coalesce(r < lead(r) OVER w, true) THEN 1 ELSE 0 END AS edge FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-k AS (SELECT *, sum(edge) OVER (PARTITION BY doc_id ORDER BY i) AS chunk FROM b),
-c AS (SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS bytes FROM k GROUP BY doc_id, chunk),
-d AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY bytes, n > 1 ORDER BY doc_id, chunk) > 1 AS gone FROM c),
-t AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN n ELSE 0 END) AS BIGINT) AS n_removed,
-             coalesce(string_agg(CASE WHEN NOT gone THEN bytes END, chr(10) ORDER BY chunk), '') AS text FROM d GROUP BY doc_id)
-SELECT doc_id, n_lines, n_removed, sha256(text) AS text_sha256 FROM t
+      FROM l WINDOW w AS (PARTITION BY doc_id, m ORDER BY i)),
+b AS (SELECT *, CASE WHEN r < lag(r) OVER w AND coalesce(r < lead(r) OVER w, true) THEN 1 ELSE 0 END AS edge FROM h WINDOW w AS (PARTITION BY doc_id, m ORDER BY i)),
+k AS (SELECT *, sum(edge) OVER (PARTITION BY doc_id, m ORDER BY i) AS chunk FROM b),
+c AS (SELECT doc_id, m, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS bytes FROM k GROUP BY doc_id, m, chunk),
+d AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY bytes, n > 1 ORDER BY doc_id, m, chunk) > 1 AS gone FROM c),
+t AS (SELECT doc_id, m, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN n ELSE 0 END) AS BIGINT) AS n_removed,
+             coalesce(string_agg(CASE WHEN NOT gone THEN bytes END, chr(10) ORDER BY chunk), '') AS text FROM d GROUP BY doc_id, m)
+SELECT d.doc_id, t.n_lines, t.n_removed, sha256(t.text) AS text_sha256 FROM documents d JOIN t ON d.doc_id = t.doc_id AND md5(d.text) = t.m
 UNION ALL SELECT doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), NULL FROM documents WHERE text IS NULL
 """
