@@ -3,7 +3,7 @@ import random
 import duckdb
 import pytest
 
-from rooftide.llm import bpe, jaccard, linededup, mixing, quality, secretscan, toxicity, urlfilter
+from rooftide.llm import bpe, jaccard, linededup, mixing, quality, secretscan, toxicity
 from rooftide.llm.queries import vocabulary_path
 
 FOLDER = "/root/testdata/sf0.001"
@@ -94,15 +94,6 @@ def test_mixing_and_lines_as_in_sql(spark):
     assert {r.doc_id: (r.n_lines, r.n_removed) for r in linededup.dedup(docs).collect()} == want
 
 
-def test_entries_hold_from_their_date(spark):
-    import datetime as d
-
-    captures = spark.createDataFrame([(1, "http://a.b.org/x", d.date(2024, 1, 5)), (2, "http://a.b.org/", d.date(2024, 2, 5)), (3, "http://b.org", d.date(2024, 3, 5)), (4, None, None)], "page_id long, url string, fetched_on date")
-    entries = spark.createDataFrame([("b.org", d.date(2024, 1, 1), "block"), ("a.b.org", d.date(2024, 2, 1), "allow"), ("b.org", d.date(2024, 3, 1), "remove"), (None, None, None)], "domain string, listed_on date, action string")
-    got = {r.page_id: r.verdict for r in urlfilter.judge(spark, captures, entries).collect()}
-    assert got == {1: "block", 2: "allow", 3: "none", 4: "none"}
-
-
 def passages_by_brute_force(texts):
     first, gone = {}, {i: set() for i in texts}
     for i, t in sorted(texts.items()):
