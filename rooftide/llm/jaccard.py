@@ -21,11 +21,15 @@ shingles (:func:`rooftide.llm.text.shingle_sets`). Two documents link when
    many documents arrives as one row per task. Components of the candidate
    graph are families; families are cut into blocks of bounded weight by size
    band and hash, and pairs of blocks whose sizes exclude a link are left out.
+   Families of more than ``RECUT`` classes, which may hang together by chains
+   of few pairs, are cut by their keys where that gives fewer rows: the classes
+   that share a key are a block, and of keys with equal classes one is taken.
 4. Each pair of blocks is one sparse product of the document by n-gram
    incidence, run over blocks of columns that add up overlap counts; pairs
-   below the bound of their sizes drop out. A block returns a spanning forest
-   of its links, never all pairs.
-5. Components of these links give the result.
+   that can no longer reach the bound of their sizes drop out. A block returns
+   a spanning forest of its links, never all pairs.
+5. Components of these links give the result. Sets that very many documents
+   have are given theirs by broadcast (:func:`rooftide.llm.shared.join_hot`).
 
 Defined cases: nulls and texts without words have empty sets and link with
 nothing; rows with a null id have no component; rows that share an id count as
@@ -43,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rooftide.llm.shared import connected_components, materialize
+from rooftide.llm.shared import connected_components, join_hot, materialize
 from rooftide.llm.text import chunks, mix, shingle_sets
 
 _U = np.uint64
@@ -51,6 +55,8 @@ _U = np.uint64
 BLOCK_DOCS, BLOCK_SHINGLES = 384, 1 << 18
 #: Documents of one chunk that must share an element for it to be counted, and the most common elements used.
 SHARED, COMMON = 4, 1 << 17
+#: Documents above which a family may be cut by its keys instead.
+RECUT = 8 * BLOCK_DOCS
 #: Keys that a task groups at once.
 GROUPED_KEYS = 1 << 20
 
@@ -140,31 +146,66 @@ def grouped(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([key[head], pair, pair]), np.concatenate([node[head], star[0], star[1]])
 
 
-def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """Intersection sizes of all pairs, by products of incidence blocks."""
+def linked(sets: list[np.ndarray], num: int, den: int, columns: int = 4096, few: int = 8) -> np.ndarray:
+    """Which pairs of sets link, by a sparse incidence product over blocks of columns.
+
+    A column of at most ``few`` rows adds one to each pair of its rows, by their
+    codes; denser columns are multiplied as a block of the rows that still hold
+    any. After each block, pairs whose count plus the smaller of what both rows
+    have left falls short of what their sizes ask for drop out, and rows without
+    pairs are read no further.
+    """
+    n, rows = np.array([len(s) for s in sets], np.int64), len(sets)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    row = np.repeat(np.arange(rows), n)
     _, col, df = np.unique(flat, return_inverse=True, return_counts=True)
     shared = np.cumsum(df > 1) - 1  # n-grams of one document alone can't overlap
     use = df[col] > 1
     row, col = row[use], shared[col[use]]
-    order = np.argsort(col, kind="stable")
+    order = np.lexsort((row, col))
     row, col = row[order], col[order]
-    total = np.zeros((len(sets), len(sets)), np.float32)
+    need = -(-num * (n[:, None] + n[None, :]) // (num + den))
+    left = np.bincount(row, minlength=rows)
+    total = np.zeros((rows, rows), np.int64)
+    live = (np.minimum(left[:, None], left[None, :]) >= need) & (n > 0)[:, None]
+    np.fill_diagonal(live, False)
     for lo in range(0, int(col[-1]) + 1 if len(col) else 0, columns):
+        alive = live.any(1)
+        if not alive.any():
+            break
         a, z = np.searchsorted(col, [lo, lo + columns])
-        m = np.zeros((len(sets), columns), np.float32)
-        m[row[a:z], col[a:z] - lo] = 1
-        total += m @ m.T
-    return total.astype(np.int64)
+        r, c = row[a:z], col[a:z] - lo
+        left = left - np.bincount(r, minlength=rows)
+        r, c = r[alive[r]], c[alive[r]]
+        count = np.bincount(c, minlength=columns)
+        thin = count[c] <= few
+        tr, tc = r[thin], c[thin]
+        codes = []
+        for d in range(1, few):
+            same = np.flatnonzero(tc[d:] == tc[:-d]) if len(tc) > d else np.zeros(0, np.int64)
+            if not len(same):
+                break
+            codes.append(tr[same] * rows + tr[same + d])
+        if codes:
+            pair, times = np.unique(np.concatenate(codes), return_counts=True)
+            total[pair // rows, pair % rows] += times
+            total[pair % rows, pair // rows] += times
+        if not thin.all():
+            own, at = np.unique(r[~thin], return_inverse=True)
+            dense, cols = np.unique(c[~thin], return_inverse=True)
+            m = np.zeros((len(own), len(dense)), np.float32)
+            m[at, cols] = 1
+            total[np.ix_(own, own)] += (m @ m.T).astype(np.int64)
+        live &= total + np.minimum(left[:, None], left[None, :]) >= need
+    return live
 
 
-def forest(linked: np.ndarray) -> np.ndarray:
+def forest(hit: np.ndarray) -> np.ndarray:
     """For each row of a symmetric boolean matrix the least row of its component."""
-    label = np.arange(len(linked))
-    linked = linked | np.eye(len(linked), dtype=bool)
+    label = np.arange(len(hit))
+    hit = hit | np.eye(len(hit), dtype=bool)
     while True:
-        least = np.where(linked, label[None, :], len(label)).min(axis=1)
+        least = np.where(hit, label[None, :], len(label)).min(axis=1)
         least = np.minimum(least, least[least])
         if (least == label).all():
             return label
@@ -220,6 +261,16 @@ def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id",
             last_key, last_node = key[-1], least[-1]
             yield pa.RecordBatch.from_pydict({"a": star[0], "b": star[1]})
 
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                flat, offs = shingle_sets(part.column("text"), k)
+                key, place = keys(flat, offs, num, den, common.value)
+                same = set_hashes(flat, offs)[0] == part.column("h1").to_numpy()
+                key, place = key[same[place]], place[same[place]]
+                out = part.drop_columns(["text"]).take(pa.array(place))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(key)], [*out.schema.names, "key"])
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -234,10 +285,7 @@ def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id",
         grams = batch.column("grams").combine_chunks()
         offs, flat = grams.offsets.to_numpy(), grams.values.to_numpy()
         parts = [flat[offs[i] : offs[i + 1]] for i in range(len(ids))]
-        n = np.array([len(p) for p in parts], np.int64)
-        both = overlaps(parts)
-        linked = den * both >= num * (n[:, None] + n[None, :] - both)
-        least = forest(linked)
+        least = forest(linked(parts, num, den))
         far = np.flatnonzero(least != np.arange(len(ids)))
         return pa.table({"a": ids[least[far]], "b": ids[far]})
 
@@ -245,7 +293,7 @@ def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id",
     sized = sketched.where("n >= 0")
     shared = sketched.where("n < 0").groupBy("h1").agg(F.sum("n").alias("n")).orderBy("n", "h1").limit(COMMON)
     common = docs.sparkSession.sparkContext.broadcast(np.sort(shared.select("h1").toArrow().column("h1").to_numpy().view(_U)))
-    classes = sized.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")).where("rep IS NOT NULL")
+    classes = sized.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("docs")).where("rep IS NOT NULL")
     met = rows.where("id IS NOT NULL").mapInArrow(meet, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
     families = connected_components(met.mapInArrow(stars, "a long, b long")).withColumnRenamed("node", "h1")
     ratio = np.log(den / num)
@@ -268,15 +316,34 @@ def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id",
         " IF(above IS NULL, array(), transform(sequence(0L, above - 1), p -> concat_ws(',', family, band, part, 1, p))),"
         " IF(under IS NULL, array(), transform(sequence(0L, under - 1), p -> concat_ws(',', family, band - 1, p, 1, part))))"
     )
-    placed = placed.select(F.col("rep").alias("id"), "h1", blocks.alias("blocks"))
+    large = whole.where(F.col("docs") > RECUT).select("family")
+    if large.isEmpty():
+        placed = placed.select(F.col("rep").alias("id"), "h1", blocks.alias("blocks"))
+    else:
+        own = members.join(large, "family").select(F.col("rep").alias("id"), "h1", "n", "family")
+        keyed = materialize(rows.join(own, "id").select("id", "h1", "n", "family", "text").mapInArrow(raw, "id long, h1 long, n long, family long, key long"))
+        groups = keyed.groupBy("family", "key").agg(
+            F.count("*").alias("docs"), F.sum("n").alias("grams"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64("id", "h1")).alias("s2")
+        )
+        groups = groups.where("docs > 1").groupBy("family", "docs", "grams", "s1", "s2").agg(F.min("key").alias("key"))
+        parts_of = F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("grams") / BLOCK_SHINGLES))
+        groups = materialize(groups.select("family", "key", "docs", parts_of.alias("parts")))
+        whole_rows = placed.join(large, "family").groupBy("family").agg(F.expr("sum(parts + coalesce(above, 0) + coalesce(under, 0))").alias("whole_rows"))
+        recut = groups.groupBy("family").agg(F.sum(F.col("docs") * F.col("parts")).alias("key_rows")).join(whole_rows, "family")
+        recut = materialize(recut.where("key_rows < whole_rows").select("family"))
+        if trace is not None:
+            trace["recut"] = recut
+        by_key = keyed.join(groups.join(recut, "family").drop("docs"), ["family", "key"]).withColumn("part", F.expr("pmod(xxhash64(id), parts)"))
+        pairs = "transform(sequence(0L, parts - 1), p -> concat_ws(',', 'key', family, key, least(p, part), greatest(p, part)))"
+        by_key = by_key.groupBy("id", "h1").agg(F.flatten(F.collect_list(F.expr(pairs))).alias("blocks"))
+        placed = placed.join(recut, "family", "left_anti").select(F.col("rep").alias("id"), "h1", blocks.alias("blocks")).unionByName(by_key)
     if trace is not None:
         trace["placed"], trace["members"] = placed, members
     filled = rows.join(placed, "id").select("id", "h1", "text", "blocks").mapInArrow(sets, "id long, blocks array<string>, grams array<long>")
     links = filled.select(F.explode("blocks").alias("block"), "id", "grams").groupBy("block").applyInArrow(product, "a long, b long")
     parts = connected_components(links).withColumnRenamed("node", "rep")
-    classes = classes.join(parts, "rep", "left").select("h1", "h2", F.col("n").alias("size"), F.coalesce("component", "rep").alias("component"))
-    on = (sized.h1 == classes.h1) & (sized.h2 == classes.h2) & (sized.n == classes["size"])
-    return sized.join(classes, on, "left").select(
+    named = materialize(classes.join(parts, "rep", "left").select("h1", "h2", "n", "docs", F.coalesce("component", "rep").alias("component")))
+    return join_hot(sized, named, ["h1", "h2", "n"], "docs", "left").select(
         F.col("id").alias(id_column),
         F.col("n").alias("n_shingles"),
         F.expr("IF(id IS NULL, NULL, coalesce(component, id))").alias("component_id"),

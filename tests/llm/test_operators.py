@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from rooftide.llm import bpe, jaccard, linededup, mixing, quality, secretscan, toxicity
@@ -67,8 +68,25 @@ def groups_by_brute_force(texts, k, num, den):
     return {i: (len(sets[i]), group[i]) for i in sets}
 
 
-@pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 4, 5)])
-def test_jaccard_finds_every_link(spark, k, num, den):
+@pytest.mark.parametrize("columns", [7, 64, 4096])
+def test_blocks_of_columns_give_the_links(columns):
+    r = np.random.default_rng(columns)
+    base = r.choice(5000, 200, replace=False)
+    sets = [np.unique(np.concatenate([base[: r.integers(1, 200)], r.choice(9000, r.integers(0, 30))])) for _ in range(60)] + [np.zeros(0, np.int64)] * 2
+    for num, den in ((9, 10), (4, 5), (1, 3)):
+        got = jaccard.linked(sets, num, den, columns)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                both = len(np.intersect1d(a, b))
+                assert got[i, j] == (i != j and both > 0 and den * both >= num * (len(a) + len(b) - both))
+
+
+@pytest.mark.parametrize(("k", "num", "den", "recut"), [(3, 9, 10, None), (5, 4, 5, None), (3, 9, 10, 3), (5, 4, 5, 3)])
+def test_jaccard_finds_every_link(spark, monkeypatch, k, num, den, recut):
+    if recut:
+        # every family is cut by its keys, and by parts of these
+        monkeypatch.setattr(jaccard, "RECUT", recut)
+        monkeypatch.setattr(jaccard, "BLOCK_DOCS", 2)
     r = random.Random(k)
     texts = {}
     for base in range(6):
@@ -83,6 +101,17 @@ def test_jaccard_finds_every_link(spark, k, num, den):
     assert got == groups_by_brute_force(texts, k, num, den)
 
 
+def test_a_long_chain_is_cut_by_its_keys(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "RECUT", 20)
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 4)
+    words = [f"w{i}" for i in range(2000)]
+    texts = {i: " ".join(words[3 * i : 3 * i + 70]) for i in range(150)} | {200 + i: " ".join(words[i * 90 : i * 90 + 50]) for i in range(9)}
+    trace = {}
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), 3, 9, 10, trace=trace).collect()}
+    assert trace["recut"].count() == 1
+    assert got == groups_by_brute_force(texts, 3, 9, 10)
+
+
 def test_mixing_and_lines_as_in_sql(spark):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
