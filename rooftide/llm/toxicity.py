@@ -1,17 +1,20 @@
 """Toxicity by classifier chains over hashed words and word beginnings.
 
-Labels mark toxic documents as a whole. A short list of common insults divides
-them into categories: documents with words of ``insult``, with words of
-``contempt``, and ``implicit`` ones with neither; ``toxic`` stands at the
+Labels mark toxic documents as a whole. Categories come from the labelled rows
+themselves: spherical k-means over the telling features of the toxic training
+rows parts these into ``KINDS`` kinds, by falling size; ``toxic`` stands at the
 chain's end. Each link is a regularised logistic regression over the presence
-of words and word beginnings, and over the log-odds that the earlier links
-give. In training those come from out-of-fold predictions, so that a link sees
-earlier answers as good as they will be on new texts.
+of features, and over the log-odds that the earlier links give. In training
+those come from out-of-fold predictions, so that a link sees earlier answers as
+good as they will be on new texts; each fold chooses its features from the
+other folds only. Rows fall into folds by their least feature hash, so that
+near copies mostly share a fold.
 
 At most ``PER_CLASS`` labelled rows of each class are read, none of the
-held-out quarter (crc32 of the id as text, mod 4, is 2); at most ``FEATURES``
-features are kept, those that tell most about the label. All rows and whole
-texts are scored.
+held-out quarter (crc32 of the id as text, mod 4, is 2). Features are counted
+by Spark; the driver gets the ``FEATURES`` most telling ones for all rows and
+for each fold, and of each row which of these it has, so its share is bounded
+whatever the texts' length. All rows and whole texts are scored.
 
 Defined cases: null and empty texts have no features; rows with a null id are
 scored; repeated rows are scored each; without labels of both classes all
@@ -29,17 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rooftide.llm.quality import labelled
+from rooftide.llm.shared import materialize
 from rooftide.llm.text import chunks, mix, utf8, word_hashes, word_spans
 
 PER_CLASS = 3000
-FEATURES = 4096
+FEATURES = 2048
 FOLDS = 3
-#: Words that divide toxic documents into categories.
-LEXICON = {
-    "insult": ("idiot", "moron", "stupid", "loser", "clown"),
-    "contempt": ("pathetic", "scum", "worthless", "trash", "disgusting"),
-}
-CATEGORIES = ("insult", "contempt", "implicit", "toxic")
+KINDS, STARTS = 3, 8
+CATEGORIES = (*(f"kind_{i}" for i in range(KINDS)), "toxic")
 BEGINNINGS = (4, 5, 6)
 
 
@@ -64,10 +64,6 @@ def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(owner)
 
 
-def word_feature(word: str) -> int:
-    return int(features(pa.array([word]))[0][0])
-
-
 def logistic(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarray, n_cols: int, l2: float = 2.0, steps: int = 120):
     """Weights of sparse binary and dense columns, and the constant, by Adam steps."""
     w, v, b = np.zeros(n_cols), np.zeros(dense.shape[1]), 0.0
@@ -90,40 +86,64 @@ def logits(model, rows: np.ndarray, cols: np.ndarray, dense: np.ndarray) -> np.n
     return np.clip(np.bincount(rows, w[cols], minlength=len(dense)) + dense @ v + b, -30, 30)
 
 
-def fit(rows: np.ndarray, names: np.ndarray, y: np.ndarray) -> dict:
-    """The chain for documents with features ``names[i]`` in document ``rows[i]``, each pair once."""
+def kinds(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_cols: int, steps: int = 20) -> np.ndarray:
+    """The kind of each toxic row, by spherical k-means over its features; -1 for other rows."""
+    toxic = np.flatnonzero(y == 1)
+    place = np.full(len(y), -1)
+    place[toxic] = np.arange(len(toxic))
+    x = np.zeros((len(toxic), n_cols), np.float32)
+    hit = place[rows] >= 0
+    x[place[rows[hit]], cols[hit]] = 1
+    x *= np.log((1 + len(x)) / (1 + x.sum(0)))
+    x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
+    # of a few starts the closest clusters count
+    best, own = -1.0, np.zeros(len(x), np.int64)
+    for seed in range(STARTS):
+        centres = x[np.random.default_rng(seed).choice(len(x), KINDS, replace=len(x) < KINDS)]
+        for _ in range(steps):
+            at = np.argmax(x @ centres.T, axis=1)
+            new = np.array([x[at == i].sum(0) if (at == i).any() else centres[i] for i in range(KINDS)])
+            centres = new / np.maximum(np.sqrt((new * new).sum(1)), 1e-12)[:, None]
+        near = x @ centres.T
+        if near.max(1).sum() > best + 1e-6:
+            best, own = float(near.max(1).sum()), np.argmax(near, axis=1)
+    order = np.argsort(-np.bincount(own, minlength=KINDS), kind="stable")
+    out = np.full(len(y), -1)
+    out[toxic] = np.argsort(order)[own]
+    return out
+
+
+def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, fold: np.ndarray, chosen: list[np.ndarray], vocab: np.ndarray) -> dict:
+    """The chain for documents with feature ``vocab[cols[i]]`` in document ``rows[i]``, each pair once.
+
+    ``chosen`` has the places of the features in use: for all rows, then for the rows outside each fold.
+    """
     n, pos = len(y), int(y.sum())
-    if pos < 2 or n - pos < 2:
+    if pos < 2 or n - pos < 2 or not len(chosen[0]):
         return {}
-    vocab, col = np.unique(names, return_inverse=True)
-    df1 = np.bincount(col, y[rows], minlength=len(vocab))
-    df0 = np.bincount(col, minlength=len(vocab)) - df1
-    gap = np.log((df1 + 0.5) / (pos + 1)) - np.log((df0 + 0.5) / (n - pos + 1))
-    telling = np.where(df1 + df0 >= 3, np.abs(gap) * np.sqrt(df1 / pos + df0 / (n - pos)), 0)
-    kept = np.sort(np.argsort(-telling, kind="stable")[:FEATURES])
-    place = np.full(len(vocab), -1)
-    place[kept] = np.arange(len(kept))
-    hit = place[col] >= 0
-    r, c = rows[hit], place[col[hit]]
-    target = {"toxic": y}
-    for name, words in LEXICON.items():
-        has = np.zeros(n, bool)
-        has[rows[np.isin(names, np.array([word_feature(w) for w in words], np.uint64))]] = True
-        target[name] = (has & (y == 1)).astype(int)
-    target["implicit"] = ((y == 1) & (target["insult"] == 0) & (target["contempt"] == 0)).astype(int)
-    fold = np.arange(n) % FOLDS
+
+    def within(own: np.ndarray, subset: np.ndarray, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of some rows and features, with both numbered anew."""
+        of_row, of_col = np.cumsum(own) - 1, np.full(len(vocab), -1)
+        of_col[subset] = np.arange(len(subset))
+        use = own[r] & (of_col[c] >= 0)
+        return of_row[r[use]], of_col[c[use]]
+
+    every = np.ones(n, bool)
+    r, c = within(every, chosen[0], rows, cols)
+    kind = kinds(r, c, y, len(chosen[0]))
     chain, dense = [], np.zeros((n, 0))
-    for name in CATEGORIES:
-        t, out = target[name], np.zeros(n)
+    for i, name in enumerate(CATEGORIES):
+        t, out = (y if name == "toxic" else (kind == i).astype(int)), np.zeros(n)
         for f in range(FOLDS):
-            a, z = fold[r] != f, fold[r] == f
-            renumber = np.cumsum(fold != f) - 1
-            model = logistic(renumber[r[a]], c[a], dense[fold != f], t[fold != f], len(kept))
-            renumber = np.cumsum(fold == f) - 1
-            out[fold == f] = logits(model, renumber[r[z]], c[z], dense[fold == f])
-        chain.append(logistic(r, c, dense, t, len(kept)))
+            seen, held = fold != f, fold == f
+            if not held.any():
+                continue
+            model = logistic(*within(seen, chosen[1 + f], rows, cols), dense[seen], t[seen], len(chosen[1 + f]))
+            out[held] = logits(model, *within(held, chosen[1 + f], rows, cols), dense[held])
+        chain.append(logistic(r, c, dense, t, len(chosen[0])))
         dense = np.column_stack([dense, out / 5])
-    return {"vocab": vocab[kept], "chain": chain}
+    return {"vocab": vocab[chosen[0]], "chain": chain, "out_of_fold": dense * 5, "kind": kind}
 
 
 def predict(model: dict, col: pa.Array) -> np.ndarray:
@@ -143,31 +163,72 @@ def predict(model: dict, col: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-5 * dense))
 
 
+def own_features(col: pa.Array) -> list[np.ndarray]:
+    """The distinct features of each text, sorted."""
+    names, doc = features(col)
+    order = np.lexsort((names, doc))
+    names, doc = names[order], doc[order]
+    new = np.ones(len(names), bool)
+    new[1:] = (names[1:] != names[:-1]) | (doc[1:] != doc[:-1])
+    return np.split(names[new], np.cumsum(np.bincount(doc[new], minlength=len(col)))[:-1])
+
+
+def fold_of(own: np.ndarray) -> int:
+    return int(mix(own, 60).min() % np.uint64(FOLDS)) if len(own) else 0
+
+
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark = docs.sparkSession
+    rows = materialize(labelled(docs, labels, "toxic", PER_CLASS), 2 * PER_CLASS)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                names, doc = features(part.column("text"))
-                own = [np.unique(names[doc == i]).view(np.int64) for i in range(part.num_rows)] if part.num_rows < 64 else None
-                if own is None:
-                    order = np.argsort(doc, kind="stable")
-                    own = [np.unique(x).view(np.int64) for x in np.split(names[order], np.cumsum(np.bincount(doc, minlength=part.num_rows))[:-1])]
-                yield pa.RecordBatch.from_pydict({"x": pa.array(own, pa.list_(pa.int64())), "y": part.column("y")})
-
-    got = labelled(docs, labels, "toxic", PER_CLASS).mapInArrow(rows, "x array<long>, y int").toArrow()
-    if got.num_rows == 0:
+                own, y = own_features(part.column("text")), part.column("y").to_numpy()
+                group = np.repeat([fold_of(x) * 2 + int(t) for x, t in zip(own, y, strict=True)], [len(x) for x in own]).astype(np.int64)
+                name, at = np.unique(np.concatenate(own), return_inverse=True)
+                df = np.bincount(at * 2 * FOLDS + group, minlength=len(name) * 2 * FOLDS).reshape(len(name), 2 * FOLDS)
+                yield pa.RecordBatch.from_pydict({"name": name.view(np.int64)} | {f"n{g}": df[:, g] for g in range(2 * FOLDS)})
+                # the row without a name counts the documents
+                yield pa.RecordBatch.from_pydict({"name": pa.nulls(1, pa.int64())} | {f"n{g}": [sum(fold_of(x) * 2 + int(t) == g for x, t in zip(own, y, strict=True))] for g in range(2 * FOLDS)})
+
+    columns = [f"n{g}" for g in range(2 * FOLDS)]
+    counted = rows.mapInArrow(counts, "name long, " + ", ".join(f"{c} long" for c in columns))
+    counted = materialize(counted.groupBy("name").agg(*[F.sum(c).alias(c) for c in columns]))
+    sizes = counted.where("name IS NULL").first()
+    if sizes is None:
         return {}
-    y = got.column("y").to_numpy()
-    lists = got.column("x").combine_chunks()
-    sets = [lists.values.to_numpy()[a:z].view(np.uint64) for a, z in zip(lists.offsets.to_numpy()[:-1], lists.offsets.to_numpy()[1:], strict=True)]
-    order = sorted(range(len(y)), key=lambda i: (int(y[i]), len(sets[i]), sets[i][:8].tolist()))  # whatever the order of tasks
-    sets, y = [sets[i] for i in order], y[order]
-    return fit(np.repeat(np.arange(len(y)), [len(x) for x in sets]), np.concatenate(sets), y)
+    lists = []
+    for left_out in (None, *range(FOLDS)):
+        folds = [f for f in range(FOLDS) if f != left_out]
+        neg, pos = (max(1, sum(sizes[f"n{2 * f + t}"] for f in folds)) for t in (0, 1))
+        df0, df1 = (f"({' + '.join(f'n{2 * f + t}' for f in folds)})" for t in (0, 1))
+        telling = f"abs(ln(({df1} + 0.5e0) / {pos + 1}) - ln(({df0} + 0.5e0) / {neg + 1})) * sqrt({df1} / {pos}e0 + {df0} / {neg}e0)"
+        top = counted.where(f"name IS NOT NULL AND {df1} + {df0} >= 3").select("name", F.expr(telling).alias("t")).orderBy(F.col("t").desc(), "name").limit(FEATURES)
+        lists.append(np.sort(top.select("name").toArrow().column("name").to_numpy().view(np.uint64)))
+    vocab = np.unique(np.concatenate(lists))
+    known = spark.sparkContext.broadcast(vocab)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                own = own_features(part.column("text"))
+                at = [np.flatnonzero(np.isin(known.value, x)).astype(np.int32) for x in own]
+                yield pa.RecordBatch.from_pydict({"x": pa.array(at, pa.list_(pa.int32())), "y": part.column("y"), "fold": pa.array([fold_of(x) for x in own], pa.int32())})
+
+    got = rows.mapInArrow(held, "x array<int>, y int, fold int").toArrow()
+    sets = [np.array(x, np.int64) for x in got.column("x").to_pylist()]
+    y, fold = got.column("y").to_numpy(), got.column("fold").to_numpy()
+    order = sorted(range(len(y)), key=lambda i: (int(y[i]), int(fold[i]), len(sets[i]), sets[i].tolist()))  # whatever the order of tasks
+    sets, y, fold = [sets[i] for i in order], y[order], fold[order]
+    row = np.repeat(np.arange(len(y)), [len(x) for x in sets])
+    return fit(row, np.concatenate(sets), y, fold, [np.searchsorted(vocab, x) for x in lists], vocab) | {"chosen": lists}
 
 
 def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Returns ``id_column, p_insult, p_contempt, p_implicit, p_toxic, toxic`` for every row."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    """Returns ``id_column, p_kind_0, p_kind_1, p_kind_2, p_toxic, toxic`` for every row."""
+    trained = train(docs, labels)
+    model = docs.sparkSession.sparkContext.broadcast({k: trained[k] for k in ("vocab", "chain")} if trained else {})
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
 
