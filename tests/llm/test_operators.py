@@ -1,10 +1,13 @@
+import hashlib
 import random
 
 import duckdb
 import numpy as np
+import plain
 import pytest
+from tokenizers import Tokenizer
 
-from rooftide.llm import bpe, jaccard, linededup, mixing, quality, secretscan, toxicity
+from rooftide.llm import bpe, jaccard, linededup, mixing, secretscan
 from rooftide.llm.queries import vocabulary_path
 
 FOLDER = "/root/testdata/sf0.001"
@@ -26,24 +29,28 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
-@pytest.fixture(scope="module")
-def labels(spark):
-    return spark.read.parquet(f"{FOLDER}/labels.parquet")
-
-
-def test_odd_rows_have_defined_results(spark, odd, none, labels):
-    runs = {
-        "mix": lambda d: mixing.mix(d), "bpe": lambda d: bpe.encode_decode(d, vocabulary_path()), "jaccard": lambda d: jaccard.join(d, 3, 9, 10),
-        "quality": lambda d: quality.score(d, labels), "toxicity": lambda d: toxicity.score(d, labels), "secrets": secretscan.digests, "lines": linededup.dedup,
-    }
+def test_odd_rows_have_defined_results(spark, odd, none):
+    runs = {"mix": mixing.mix, "bpe": lambda d: bpe.encode_decode(d, vocabulary_path()), "jaccard": lambda d: jaccard.join(d, 3, 9, 10), "secrets": secretscan.digests, "lines": linededup.dedup}
+    rows_of = {name: run(odd).collect() for name, run in runs.items()}
     for name, run in runs.items():
-        assert run(odd).count() == 11, name
+        assert len(rows_of[name]) == 11, name
         assert run(none).count() == 0, name
+    want = plain.jaccard(dict(enumerate(TEXTS)), 3, 9, 10)
+    assert sorted((r.n_shingles, r.component_id) for r in rows_of["jaccard"] if r.doc_id is not None) == sorted([*want.values(), want[3]])
+    assert [(r.n_shingles, r.component_id) for r in rows_of["jaccard"] if r.doc_id is None] == [(3, None)]
+    library = Tokenizer.from_file(vocabulary_path())
+    for r in rows_of["bpe"]:
+        text = "no id here at all" if r.doc_id is None else TEXTS[r.doc_id] or ""
+        ids = library.encode(text, add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+    assert {r.doc_id: (r.n_assign, r.spans) for r in rows_of["secrets"]}[8] == (1, "assign:0:27")
+    assert all(r.text == (TEXTS[r.doc_id] if r.doc_id is not None else "no id here at all") for r in rows_of["lines"])
+    sizes = {r.doc_id: r["size"] for r in rows_of["mix"]}
+    assert sizes == {i: len(plain.words(t)) for i, t in enumerate(TEXTS)} | {None: 5}
 
 
 def test_bpe_is_the_librarys():
-    from tokenizers import Tokenizer
-
     want = Tokenizer.from_file(vocabulary_path())
     e = bpe.Encoder(bpe.Vocabulary(vocabulary_path()))
     r = random.Random(3)
@@ -53,21 +60,6 @@ def test_bpe_is_the_librarys():
         assert e.v.decode(ids).decode() == want.decode(ids.tolist(), skip_special_tokens=False)
 
 
-def groups_by_brute_force(texts, k, num, den):
-    sets = {}
-    for i, t in texts.items():
-        w = [x for x in (t or "").lower().split()]
-        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
-    group = {i: i for i in sets}
-    for a in sets:
-        for b in sets:
-            both = len(sets[a] & sets[b])
-            if a < b and both and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
-                old, new = max(group[a], group[b]), min(group[a], group[b])
-                group = {i: new if g == old else g for i, g in group.items()}
-    return {i: (len(sets[i]), group[i]) for i in sets}
-
-
 @pytest.mark.parametrize("columns", [7, 64, 4096])
 def test_blocks_of_columns_give_the_links(columns):
     r = np.random.default_rng(columns)
@@ -98,7 +90,7 @@ def test_jaccard_finds_every_link(spark, monkeypatch, k, num, den, recut):
             texts[len(texts)] = " ".join(own)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(docs, k, num, den).collect()}
-    assert got == groups_by_brute_force(texts, k, num, den)
+    assert got == plain.jaccard(texts, k, num, den)
 
 
 def test_a_long_chain_is_cut_by_its_keys(spark, monkeypatch):
@@ -109,7 +101,7 @@ def test_a_long_chain_is_cut_by_its_keys(spark, monkeypatch):
     trace = {}
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), 3, 9, 10, trace=trace).collect()}
     assert trace["recut"].count() == 1
-    assert got == groups_by_brute_force(texts, 3, 9, 10)
+    assert got == plain.jaccard(texts, 3, 9, 10)
 
 
 def test_mixing_and_lines_as_in_sql(spark):
@@ -123,18 +115,6 @@ def test_mixing_and_lines_as_in_sql(spark):
     assert {r.doc_id: (r.n_lines, r.n_removed) for r in linededup.dedup(docs).collect()} == want
 
 
-def passages_by_brute_force(texts):
-    first, gone = {}, {i: set() for i in texts}
-    for i, t in sorted(texts.items()):
-        lines = t.split("\n")
-        filled = [j for j, line in enumerate(lines) if line.strip(" \t\r")]
-        for a, z in zip(filled, filled[1:]):
-            doc, at = first.setdefault("\n".join(lines[a : z + 1]), (i, a))
-            if doc != i or a > at + z - a:
-                gone[i].update(range(a, z + 1))
-    return {i: ("\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[i]), len(gone[i])) for i, t in texts.items()}
-
-
 def test_every_repeated_passage_goes(spark):
     r = random.Random(8)
     texts = {}
@@ -148,7 +128,7 @@ def test_every_repeated_passage_goes(spark):
     docs = spark.createDataFrame([*texts.items(), (None, texts[1]), (999, None)], "doc_id long, text string").repartition(3)
     got = {x.doc_id: (x.text, x.n_removed) for x in linededup.passages(docs).collect()}
     assert got.pop(None) == (texts[1], 0) and got.pop(999) == (None, 0)
-    assert got == passages_by_brute_force(texts)
+    assert got == plain.passages(texts)
     assert all(sum(f"passage {n} line {j}" in t for t, _ in got.values()) == 1 for n in (2, 3, 4, 5) for j in range(n))
     kept = {line for t, _ in got.values() for line in t.split("\n")}
     assert all(line in kept for t in texts.values() for line in t.split("\n") if line.strip())
