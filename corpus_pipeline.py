@@ -55,7 +55,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Fitted models and set similarity are beyond SQL; no test checks the rows of the whole pipeline.
+#: Fitted models and set similarity are beyond SQL; tests/llm/test_pipeline.py holds the stages and the whole pipeline against plain forms.
 ORACLE_SQL = None
 
 
