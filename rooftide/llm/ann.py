@@ -32,6 +32,7 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,22 +68,32 @@ def norms(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", x, x))
 
 
-def rotated(x: np.ndarray, seed: int) -> np.ndarray:
-    """Fast pseudo-rotation of rows, padded to a power of two."""
-    n = 1 << max(0, int(x.shape[1] - 1).bit_length())
-    y = np.zeros((len(x), n))
-    y[:, : x.shape[1]] = x
-    signs = np.random.default_rng(1000 + seed).choice([-1.0, 1.0], (3, n))
-    for s in signs:
+def transformed(y: np.ndarray, seed: int) -> np.ndarray:
+    """Three rounds of random signs and a Hadamard transform; the rows' length is a power of two."""
+    n = y.shape[1]
+    for s in np.random.default_rng(1000 + seed).choice([-1.0, 1.0], (3, n)):
         y = y * s
         h = 1
         while h < n:
-            y = y.reshape(len(x), n // (2 * h), 2, h)
-            y = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), n)
+            y = y.reshape(len(y), n // (2 * h), 2, h)
+            y = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(y), n)
             h *= 2
     return y
 
 
+@lru_cache(maxsize=512)
+def rotation(n: int, dims: int, seed: int) -> np.ndarray:
+    return transformed(np.eye(dims, n), seed)
+
+
+def rotated(x: np.ndarray, seed: int) -> np.ndarray:
+    """Fast pseudo-rotation of rows, padded to a power of two; short rows take one product with its matrix."""
+    n = 1 << max(0, int(x.shape[1] - 1).bit_length())
+    if n <= 128:
+        return x @ rotation(n, x.shape[1], seed)
+    return transformed(np.pad(x, ((0, 0), (0, n - x.shape[1]))), seed)
+
+
 def both_signs(x: np.ndarray, table: int, polytope: int) -> np.ndarray:
     """How far each row goes along each signed axis."""
     y = rotated(x, table * 64 + polytope)
@@ -99,17 +110,21 @@ def buckets(x: np.ndarray, table: int, polytopes: int) -> np.ndarray:
 
 
 def probes(x: np.ndarray, table: int, polytopes: int, count: int) -> np.ndarray:
-    """The ``count`` nearest buckets of each row, by the squared shortfalls along their axes."""
+    """The ``count`` nearest buckets of each row, by the squared shortfalls along their axes.
+
+    Of two sorted lists the sum of places i and j is among the ``count`` least only if i times j (from 1) is at most that.
+    """
     out = []
-    for i in range(0, max(len(x), 1), 256):
-        short, code = np.zeros((len(x[i : i + 256]), 1)), np.zeros((len(x[i : i + 256]), 1), np.int64)
+    for a in range(0, max(len(x), 1), 256):
+        short, code = np.zeros((len(x[a : a + 256]), 1)), np.zeros((len(x[a : a + 256]), 1), np.int64)
         for p in range(polytopes):
-            y = both_signs(x[i : i + 256], table, p)
+            y = both_signs(x[a : a + 256], table, p)
             miss = (y.max(axis=1, keepdims=True) - y) ** 2
-            near = np.argpartition(miss, min(count, y.shape[1]) - 1, axis=1)[:, :count]
-            short = (short[:, :, None] + np.take_along_axis(miss, near, 1)[:, None, :]).reshape(len(y), -1)
-            code = (code[:, :, None] * y.shape[1] + near[:, None, :]).reshape(len(y), -1)
-            keep = np.argpartition(short, min(count, short.shape[1]) - 1, axis=1)[:, :count]
+            near = np.argsort(miss, axis=1, kind="stable")[:, :count]
+            i, j = np.nonzero(np.arange(1, short.shape[1] + 1)[:, None] * np.arange(1, near.shape[1] + 1) <= count)
+            short = short[:, i] + np.take_along_axis(miss, near, 1)[:, j]
+            code = code[:, i] * y.shape[1] + near[:, j]
+            keep = np.argsort(short, axis=1, kind="stable")[:, :count]
             short, code = np.take_along_axis(short, keep, 1), np.take_along_axis(code, keep, 1)
         out.append(code)
     return np.concatenate(out)
