@@ -302,13 +302,16 @@ def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id",
     )
     whole = members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("grams"))
     small = f"docs <= {BLOCK_DOCS} AND grams <= {BLOCK_SHINGLES}"
-    cut = members.join(whole, "family").withColumn("band", F.expr(f"IF({small}, 0L, band)"))
+    whole = materialize(whole)
+    cut = materialize(join_hot(members, whole, ["family"], "docs").withColumn("band", F.expr(f"IF({small}, 0L, band)")))
     weight = cut.groupBy("family", "band").agg(
-        F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts")
+        F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"), F.count("*").alias("own")
     )
+    weight = materialize(weight)
     beside = weight.select("family", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
     below = weight.select("family", (F.col("band") + 1).alias("band"), F.col("parts").alias("under"))
-    placed = cut.join(weight, ["family", "band"]).join(beside, ["family", "band"], "left").join(below, ["family", "band"], "left")
+    weight = weight.join(beside, ["family", "band"], "left").join(below, ["family", "band"], "left")
+    placed = join_hot(cut, weight, ["family", "band"], "own")
     placed = placed.withColumn("part", F.expr("pmod(xxhash64(rep), parts)"))
     # a block pair is (band, part, next band or the same, other part)
     blocks = F.expr(
