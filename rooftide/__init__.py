@@ -1,8 +1,8 @@
 """Spatial reconstruction analytics as DataFrame plans, with a corpus toolkit beside it.
 
-Sub-packages: ``functions`` (column expressions), ``operators`` (DataFrame in,
-DataFrame out), ``plans`` (named queries with their SQL), ``sources`` (readers
-and writers) and ``streaming`` (incremental forms).
+Sub-packages: ``kernels`` (geometry of one feature in numpy), ``operators``
+(DataFrame in, DataFrame out), ``plans`` (named queries with their SQL) and
+``sources`` (readers and writers).
 """
 
 import sys

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rooftide.plans import graphs, surfaces
+from rooftide.plans import graphs, kernels, surfaces
 from rooftide.plans.fixtures import TABLES, with_views
 from rooftide.plans.surfaces import near
 
@@ -126,4 +126,4 @@ def query(name: str):
     return run
 
 
-QUERIES = {name: query(name) for name in SQL} | graphs.QUERIES
+QUERIES = {name: query(name) for name in SQL} | graphs.QUERIES | kernels.QUERIES

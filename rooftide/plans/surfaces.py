@@ -44,7 +44,7 @@ def scanned(edges: str, keys: str, cols: int) -> str:
 
 
 #: Triangles' cells of 1 x 1 on a grid half a cell around the feature, with the height of the triangle's plane at the centre.
-_ROOF_CELLS = f"""{grid(38)}, local AS (SELECT t.fid, t.tri_id, t.x0 - f.x0 + 0.5e0 AS x0, t.y0 - f.y0 + 0.5e0 AS y0, t.z0, t.x1 - f.x0 + 0.5e0 AS x1, t.y1 - f.y0 + 0.5e0 AS y1, t.z1,
+ROOF_CELLS = f"""{grid(38)}, local AS (SELECT t.fid, t.tri_id, t.x0 - f.x0 + 0.5e0 AS x0, t.y0 - f.y0 + 0.5e0 AS y0, t.z0, t.x1 - f.x0 + 0.5e0 AS x1, t.y1 - f.y0 + 0.5e0 AS y1, t.z1,
       t.x2 - f.x0 + 0.5e0 AS x2, t.y2 - f.y0 + 0.5e0 AS y2, t.z2 FROM triangles t JOIN footprints f ON t.fid = f.fid),
     sides AS (SELECT fid, tri_id, x0 AS ax, y0 AS ay, x1 AS bx, y1 AS by_ FROM local UNION ALL SELECT fid, tri_id, x1, y1, x2, y2 FROM local UNION ALL SELECT fid, tri_id, x2, y2, x0, y0 FROM local),
     {scanned('sides', 'fid, tri_id', 26)},
@@ -113,7 +113,7 @@ SQL = {
         FROM part_ WHERE least(nc * 8 + 10, col * 5 + 5) > greatest(nc * 8 + 2, col * 5) AND least(nr * 8 + 10, row_ * 5 + 5) > greatest(nr * 8 + 2, row_ * 5)),
       best AS (SELECT *, row_number() OVER (PARTITION BY nc, nr ORDER BY area DESC, face) AS rn FROM share)
       SELECT CAST(nc AS BIGINT) AS col, CAST(nr AS BIGINT) AS row_, face, segid, in_footprint FROM best WHERE rn = 1""",
-    "a9_roof_parts": f"""WITH {_ROOF_CELLS}, ranked AS (SELECT fid, tri_id, z, row_number() OVER (PARTITION BY fid, tri_id ORDER BY z) AS rn, count(*) OVER (PARTITION BY fid, tri_id) AS n FROM cells),
+    "a9_roof_parts": f"""WITH {ROOF_CELLS}, ranked AS (SELECT fid, tri_id, z, row_number() OVER (PARTITION BY fid, tri_id ORDER BY z) AS rn, count(*) OVER (PARTITION BY fid, tri_id) AS n FROM cells),
       h AS (SELECT fid, tri_id, min(z) AS h_min, max(z) AS h_max, max(CASE WHEN rn = floor((n - 1) * 0.5e0) + 1 THEN z END) AS h_50p, max(CASE WHEN rn = floor((n - 1) * 0.7e0) + 1 THEN z END) AS h_70p FROM ranked GROUP BY fid, tri_id),
       slope AS (SELECT fid, tri_id, least(z0, z1, z2) AS z_min, greatest(z0, z1, z2) AS z_max, (y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0) AS nx, (z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0) AS ny, (x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0) AS nz FROM triangles)
       SELECT s.fid, s.tri_id, {near('coalesce(h_min, z_min)')} AS h_min, {near('coalesce(h_max, z_max)')} AS h_max, {near('coalesce(h_50p, z_min)')} AS h_50p, {near('coalesce(h_70p, z_max)')} AS h_70p,
@@ -137,7 +137,7 @@ SQL = {
         FROM cell c JOIN ring_edges e ON c.fid = e.fid GROUP BY c.fid, c.col, c.row_)
       SELECT o.fid, o.col, o.row_, CASE WHEN o.beyond THEN greatest(low.z, coalesce(p.building, low.z)) ELSE coalesce(p.building, p.ground) END AS z
       FROM outside o LEFT JOIN cloud p ON o.fid = p.fid AND o.col = p.col AND o.row_ = p.row_ LEFT JOIN low ON o.fid = low.fid""",
-    "r3_segment_raster": f"WITH {_ROOF_CELLS} SELECT fid, col, row_, {near('max(z)')} AS z, CAST(count(*) OVER (PARTITION BY fid) AS DOUBLE) AS data_area FROM cells GROUP BY fid, col, row_",
+    "r3_segment_raster": f"WITH {ROOF_CELLS} SELECT fid, col, row_, {near('max(z)')} AS z, CAST(count(*) OVER (PARTITION BY fid) AS DOUBLE) AS data_area FROM cells GROUP BY fid, col, row_",
     "r4_polygon_cells": f"WITH {grid(36)}, sides AS (SELECT e.fid, e.ax - f.x0 AS ax, e.ay - f.y0 AS ay, e.bx - f.x0 AS bx, e.by_ - f.y0 AS by_ FROM ring_edges e JOIN footprints f ON e.fid = f.fid), {scanned('sides', 'fid', 25)} SELECT fid, col, row_ FROM filled",
     "x17_unlabelled_area": f"SELECT fid, 25.0e0 * sum(CASE WHEN segid = 0 THEN 1 ELSE 0 END) AS area, {near('sum(CASE WHEN segid = 0 THEN 1.0e0 ELSE 0.0e0 END) / count(*)')} AS share FROM arr_face WHERE in_footprint GROUP BY fid",
 }
