@@ -15,12 +15,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from rooftide.kernels import arrangement, cuts, delaunay, lines, meshes, planes
+from rooftide.plans.dialects import read
 from rooftide.plans.fixtures import TABLES, with_views
 from rooftide.plans.surfaces import ROOF_CELLS
 
@@ -59,12 +61,14 @@ class Feature:
         s = self.kind(2, 6)
         return s[:, 0].astype(np.int64), s[:, 1:5].reshape(-1, 2, 2), s[:, 5].astype(np.int64)
 
-    def planes(self):
+    @cached_property
+    def grown(self) -> tuple[np.ndarray, dict[int, np.ndarray], np.ndarray]:
         return planes.grow(self.cloud, planes.PlaneParams(plane_k=8, epsilon=0.4))
 
+    @cached_property
     def outlines(self) -> list[tuple[int, np.ndarray]]:
         """Plane and ring of each boundary of the planes' alpha shapes."""
-        label, found, _ = self.planes()
+        label, found, _ = self.grown
         out = []
         for plane in found:
             p = self.cloud[label == plane][:, :2]
@@ -74,11 +78,11 @@ class Feature:
 
     def ring_lines(self) -> list[tuple[int, int, np.ndarray, int]]:
         """Plane, ring, segment and points of the lines along the outlines."""
-        return [(plane, i, lines.segment(ring[m]), len(m)) for i, (plane, ring) in enumerate(self.outlines()) for m in lines.detect(ring)]
+        return [(plane, i, lines.segment(ring[m]), len(m)) for i, (plane, ring) in enumerate(self.outlines) for m in lines.detect(ring)]
 
     def intersections(self) -> list[np.ndarray]:
         """Where adjacent planes cross, as far as both have points beside the line."""
-        label, found, _ = self.planes()
+        label, found, _ = self.grown
         out = []
         for (hi, lo), count in planes.adjacency(self.cloud, label).items():
             s = planes.crossing(self.cloud[label == hi], found[hi], self.cloud[label == lo], found[lo]) if count >= 5 else None
@@ -94,7 +98,7 @@ class Feature:
 
     def costs(self, arr: arrangement.Arrangement) -> tuple[list[int], np.ndarray]:
         """Faces of the footprint, and for each the error of its points to each plane: root mean squares, 0 without points, by their largest."""
-        _, found, _ = self.planes()
+        _, found, _ = self.grown
         faces = [f for f in range(len(arr.faces)) if arr.in_footprint[f]]
         at = arrangement.locate(arr, self.cloud[:, :2])
         out = np.zeros((len(faces), len(found)))
@@ -119,7 +123,7 @@ class Feature:
 
     def solid(self) -> list[tuple[int, list[tuple[float, float, float]]]]:
         arr, faces, label, _, _ = self.labelled()
-        found = list(self.planes()[1].values())
+        found = list(self.grown[1].values())
         return arrangement.extruded(arr, {f: found[i] for f, i in zip(faces, label, strict=True)} if found else {}, 0.0)
 
 
@@ -144,7 +148,7 @@ def faces_of(arr: arrangement.Arrangement) -> list[dict]:
 
 
 def detect_planes(f: Feature) -> list[dict]:
-    label, found, wall = f.planes()
+    label, found, wall = f.grown
     level = [i for i, p in found.items() if p[2] > 0.97]
     return [
         {"plane_id": i, "a": _n(p[0]), "b": _n(p[1]), "c": _n(p[2]), "d": _n(p[3]), "points": int((label == i).sum()), "is_horizontal": i in level, "unsegmented": int((label == 0).sum()), "wall_points": int(wall.sum()), "roof_type": planes.roof_type(found, label)}
@@ -250,11 +254,11 @@ _RING3, _MESH, _FACES = "ring long, i long, x double, y double", "tri long, k lo
 KERNELS: dict[str, tuple[tuple[str, ...], Callable[[Feature], list[dict]], str]] = {
     "g1_detect_planes": ((CLOUD,), detect_planes, "plane_id long, a double, b double, c double, d double, points long, is_horizontal boolean, unsegmented long, wall_points long, roof_type string"),
     "g3_line_detector": ((CLOUD,), lambda f: [{"plane": p, "ring": i, "x0": _n(s[0, 0]), "y0": _n(s[0, 1]), "x1": _n(s[1, 0]), "y1": _n(s[1, 1]), "points": n} for p, i, s, n in f.ring_lines()], "plane long, ring long, x0 double, y0 double, x1 double, y1 double, points long"),
-    "g4_detect_lines": ((CLOUD,), lambda f: ringed([lines.chained([lines.segment(r[m]) for m in lines.detect(r)]) for _, r in f.outlines()]), _RING3),
+    "g4_detect_lines": ((CLOUD,), lambda f: ringed([lines.chained([lines.segment(r[m]) for m in lines.detect(r)]) for _, r in f.outlines]), _RING3),
     "j4_detected_plane_segments": ((CLOUD,), lambda f: [{"line": i, "x0": _n(s[0, 0]), "y0": _n(s[0, 1]), "x1": _n(s[1, 0]), "y1": _n(s[1, 1])} for i, s in enumerate(f.intersections())], "line long, x0 double, y0 double, x1 double, y1 double"),
     "g5_regularise_lines": ((SEGMENTS,), regularised_lines, "line long, x0 double, y0 double, x1 double, y1 double, priority long, angle_cluster long"),
     "g6_cluster_lines": ((SEGMENTS,), clustered_lines, "sid long, angle_cluster long, cluster long"),
-    "g8_alpha_shape": ((CLOUD,), lambda f: ringed([r for _, r in f.outlines()]), _RING3),
+    "g8_alpha_shape": ((CLOUD,), lambda f: ringed([r for _, r in f.outlines]), _RING3),
     "x1_arrangement_from_lines": ((CLOUD, RING), lambda f: faces_of(f.arranged()), _FACES),
     "x3_point_costs": ((CLOUD, RING), point_costs, "face long, plane long, cost double"),
     "x4_alpha_expansion": ((CLOUD, RING), label_faces, "face long, plane long, area double, energy_before double, energy double"),
@@ -262,9 +266,9 @@ KERNELS: dict[str, tuple[tuple[str, ...], Callable[[Feature], list[dict]], str]]
     "x14_snap_round": ((CLOUD, RING), snapped, _FACES),
     "x15_tri_snap": ((CLOUD, RING), tri_snapped, _FACES),
     "x16_arrangement_extruder": ((CLOUD, RING), extrude, "surface long, label long, ring string"),
-    "m1_simplify_polygon": ((CLOUD,), lambda f: ringed([lines.simplified(r) for _, r in f.outlines()]), _RING3),
+    "m1_simplify_polygon": ((CLOUD,), lambda f: ringed([lines.simplified(r) for _, r in f.outlines]), _RING3),
     "m2_any_ring_offset": ((RING,), lambda f: ringed([lines.offset(f.ring)]), _RING3),
-    "m3_contour_regulariser": ((CLOUD,), lambda f: ringed([lines.contour(r) for _, r in f.outlines()]), _RING3),
+    "m3_contour_regulariser": ((CLOUD,), lambda f: ringed([lines.contour(r) for _, r in f.outlines]), _RING3),
     "m4_max_inscribed_circle": ((CLOUD, RING), largest_circle, "x double, y double, diameter double"),
     "m5_triangulate_solid": ((CLOUD, RING), triangulate, "triangles long, volume double, area double"),
     "m6_mesh_clipper": ((TRIANGLES,), clip_mesh, _MESH + ", nx double, ny double, nz double"),
@@ -289,6 +293,8 @@ def run(rows: DataFrame, kernel: Callable[[Feature], list[dict]], schema: str) -
         columns = [pa.array([fid] * len(found), pa.int64())] + [pa.array([r[n] for r in found], k) for n, k in zip(names, types, strict=True)]
         return pa.table(columns, names=["fid", *names])
 
+    # kernels take far longer than their rows' bytes tell, so adaptive execution must not merge these partitions
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fid")
     return rows.groupBy("fid").applyInArrow(one, f"fid long, {schema}")
 
 
@@ -298,7 +304,7 @@ def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
         for table in TABLES:
             if any(table in with_views(sql) for sql in inputs):
                 spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-        parts = [spark.sql(with_views(sql)) for sql in inputs]
+        parts = [spark.sql(read(with_views(sql), "spark")) for sql in inputs]
         shaped = [p.selectExpr("CAST(fid AS BIGINT) AS fid", "CAST(kind AS INT) AS kind", *(f"CAST({c} AS DOUBLE) AS {c}" if c in p.columns else f"CAST(NULL AS DOUBLE) AS {c}" for c in PLACES)) for p in parts]
         rows = shaped[0]
         for more in shaped[1:]:

@@ -6,12 +6,33 @@ number of features, not with its square. Equal points are folded, and equal dist
 
 from __future__ import annotations
 
+from rooftide.plans.dialects import count_where, gathered, series
+
 
 def near(x: str) -> str:
     """Half-up rounding to four places, alike in both engines."""
     return f"floor(({x}) * 1e4 + 0.5e0) / 1e4"
 
 
+def inside(px: str, py: str) -> str:
+    """Even-odd crossings of a ray from the point with the ring in ``edges``, counted within the row."""
+    return count_where("edges", f"(e.ay > {py}) <> (e.by_ > {py}) AND {px} < (e.bx - e.ax) * ({py} - e.ay) / (e.by_ - e.ay) + e.ax") + " % 2 = 1"
+
+
+#: Footprints in their buckets, each with its ring as an array of edges.
+SHAPES = f"shapes AS (SELECT b.*, r.edges FROM footprint_buckets b JOIN (SELECT fid, {gathered('ax', 'ay', 'bx', 'by_')} AS edges FROM ring_edges GROUP BY fid) AS r ON b.fid = r.fid)"
+
+
+def ranked(rows: str) -> str:
+    """Distinct heights of each ``fid`` with the number of rows up to each and of all: rows are folded before any is sorted."""
+    return f"SELECT fid, z, sum(n) OVER (PARTITION BY fid ORDER BY z) AS upto, sum(n) OVER (PARTITION BY fid) AS cnt FROM (SELECT fid, z, count(*) AS n FROM {rows} GROUP BY fid, z) AS folded"
+
+
+def percentile(p: float) -> str:
+    """The height at place ``floor(p * (n - 1))`` of a group of ``ranked`` rows."""
+    return f"min(CASE WHEN upto > floor((cnt - 1) * {p}e0) THEN z END)"
+
+
 #: Roof points in the frame of their feature; label 0 is unsegmented, 1 to 4 are planes.
 _LABELLED = "labelled AS (SELECT DISTINCT bucket AS fid, x - bucket * 20 AS x, y, z, CAST(l_suppkey % 5 AS INT) AS label FROM points WHERE cls = 6)"
 
@@ -24,30 +45,23 @@ def adjacency(k: int = 15) -> str:
     adjacent AS (SELECT fid, greatest(label, other) AS hi, least(label, other) AS lo, count(*) AS cnt FROM pairs WHERE rn <= {k} AND other <> 0 AND other <> label GROUP BY 1, 2, 3)"""
 
 
-def grid(n: int) -> str:
-    """Integers 0 to 99 below ``n``, as ``rows_``."""
-    digits = ", ".join(f"({i})" for i in range(10))
-    return f"digit(v) AS (VALUES {digits}), rows_ AS (SELECT a.v * 10 + b.v AS r FROM digit a CROSS JOIN digit b WHERE a.v * 10 + b.v < {n})"
-
-
-def scanned(edges: str, keys: str, cols: int) -> str:
+def scanned(edges: str, keys: str) -> str:
     """Even-odd scanline cells of closed rings; ``edges`` has the keys and ends ``ax, ay, bx, by_`` in cells.
 
-    Crossings are cut to whole columns and both ends of a span are filled.
+    Crossings are cut to whole columns and both ends of a span are filled. Rows and columns come from the rings' own extent.
     """
-    on = ", ".join(f"e.{k}" for k in keys.split(", "))
-    return f"""crossing AS (SELECT {on}, r.r, CAST(floor(e.bx + (r.r - e.by_) / (e.ay - e.by_) * (e.ax - e.bx)) AS BIGINT) AS ix FROM {edges} e JOIN rows_ r
-        ON (e.by_ < r.r AND e.ay >= r.r) OR (e.ay < r.r AND e.by_ >= r.r)),
+    return f"""swept AS (SELECT *, {series('CAST(floor(least(ay, by_)) AS BIGINT)', 'CAST(ceil(greatest(ay, by_)) AS BIGINT)')} AS r FROM {edges}),
+    crossing AS (SELECT {keys}, r, CAST(floor(bx + (r - by_) / (ay - by_) * (ax - bx)) AS BIGINT) AS ix FROM swept WHERE (by_ < r AND ay >= r) OR (ay < r AND by_ >= r)),
     numbered AS (SELECT *, row_number() OVER (PARTITION BY {keys}, r ORDER BY ix) AS rn FROM crossing),
-    span AS (SELECT {keys}, r, min(ix) AS lo, least(max(ix), {cols}) AS hi FROM numbered GROUP BY {keys}, r, floor((rn - 1) / 2.0e0)),
-    filled AS (SELECT {", ".join(f"s.{k}" for k in keys.split(", "))}, c.r AS col, s.r AS row_ FROM span s JOIN rows_ c ON c.r BETWEEN s.lo AND s.hi WHERE s.lo < {cols})"""
+    span AS (SELECT {keys}, r, min(ix) AS lo, max(ix) AS hi FROM numbered GROUP BY {keys}, r, floor((rn - 1) / 2.0e0)),
+    filled AS (SELECT {keys}, {series('lo', 'hi')} AS col, r AS row_ FROM span)"""
 
 
 #: Triangles' cells of 1 x 1 on a grid half a cell around the feature, with the height of the triangle's plane at the centre.
-ROOF_CELLS = f"""{grid(38)}, local AS (SELECT t.fid, t.tri_id, t.x0 - f.x0 + 0.5e0 AS x0, t.y0 - f.y0 + 0.5e0 AS y0, t.z0, t.x1 - f.x0 + 0.5e0 AS x1, t.y1 - f.y0 + 0.5e0 AS y1, t.z1,
+ROOF_CELLS = f"""local AS (SELECT t.fid, t.tri_id, t.x0 - f.x0 + 0.5e0 AS x0, t.y0 - f.y0 + 0.5e0 AS y0, t.z0, t.x1 - f.x0 + 0.5e0 AS x1, t.y1 - f.y0 + 0.5e0 AS y1, t.z1,
       t.x2 - f.x0 + 0.5e0 AS x2, t.y2 - f.y0 + 0.5e0 AS y2, t.z2 FROM triangles t JOIN footprints f ON t.fid = f.fid),
     sides AS (SELECT fid, tri_id, x0 AS ax, y0 AS ay, x1 AS bx, y1 AS by_ FROM local UNION ALL SELECT fid, tri_id, x1, y1, x2, y2 FROM local UNION ALL SELECT fid, tri_id, x2, y2, x0, y0 FROM local),
-    {scanned('sides', 'fid, tri_id', 26)},
+    {scanned('sides', 'fid, tri_id')},
     cells AS (SELECT c.fid, c.tri_id, c.col, c.row_, t.z0 + ((t.z1 - t.z0) * ((c.col + 0.5e0 - t.x0) * (t.y2 - t.y0) - (t.x2 - t.x0) * (c.row_ + 0.5e0 - t.y0))
       + (t.z2 - t.z0) * ((t.x1 - t.x0) * (c.row_ + 0.5e0 - t.y0) - (c.col + 0.5e0 - t.x0) * (t.y1 - t.y0))) / ((t.x1 - t.x0) * (t.y2 - t.y0) - (t.x2 - t.x0) * (t.y1 - t.y0)) AS z
       FROM filled c JOIN local t ON c.fid = t.fid AND c.tri_id = t.tri_id)"""
@@ -77,14 +91,13 @@ def beside(a: int, b: int) -> str:
 SQL = {
     "a6_plane_summary": f"""WITH pts AS (SELECT bucket AS fid, z, CAST(l_suppkey % 5 AS INT) AS label FROM points WHERE cls = 6),
       kind AS (SELECT fid, plane_id, c / sqrt(a * a + b * b + c * c) AS up FROM planes),
-      tagged AS (SELECT p.fid, p.z, p.label, k.up, row_number() OVER (PARTITION BY p.fid, CASE WHEN k.up >= 0.3e0 THEN 1 ELSE 0 END ORDER BY p.z) AS rn,
-        count(*) OVER (PARTITION BY p.fid, CASE WHEN k.up >= 0.3e0 THEN 1 ELSE 0 END) AS n FROM pts p LEFT JOIN kind k ON p.fid = k.fid AND p.label = k.plane_id),
+      tagged AS (SELECT p.fid, p.z, p.label, k.up FROM pts p LEFT JOIN kind k ON p.fid = k.fid AND p.label = k.plane_id),
+      roofs AS (SELECT fid, z FROM tagged WHERE up >= 0.3e0), heights AS (SELECT fid, {percentile(0.5)} AS z_50p, {percentile(0.7)} AS z_70p FROM ({ranked('roofs')}) AS q GROUP BY fid),
       counted AS (SELECT fid, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS unsegmented, sum(CASE WHEN up < 0.3e0 THEN 1 ELSE 0 END) AS wall, sum(CASE WHEN up >= 0.3e0 THEN 1 ELSE 0 END) AS roof,
         sum(CASE WHEN up > 0.97e0 THEN 1 ELSE 0 END) AS level, count(DISTINCT CASE WHEN up > 0.97e0 THEN label END) AS horizontal, count(DISTINCT CASE WHEN up >= 0.3e0 AND up <= 0.97e0 THEN label END) AS slanted,
-        count(DISTINCT CASE WHEN label <> 0 THEN label END) AS planes, min(CASE WHEN up >= 0.3e0 THEN z END) AS z_min, max(CASE WHEN up >= 0.3e0 THEN z END) AS z_max,
-        max(CASE WHEN up >= 0.3e0 AND rn = floor((n - 1) * 0.5e0) + 1 THEN z END) AS z_50p, max(CASE WHEN up >= 0.3e0 AND rn = floor((n - 1) * 0.7e0) + 1 THEN z END) AS z_70p FROM tagged GROUP BY fid)
-      SELECT fid, CAST(roof AS BIGINT) AS roof_points, CAST(wall AS BIGINT) AS wall_points, CAST(unsegmented AS BIGINT) AS unsegmented_points, horizontal, slanted, z_min, z_max, z_50p, z_70p,
-        CASE WHEN planes = 0 THEN 'no points' WHEN horizontal = 1 AND slanted = 0 THEN 'horizontal' WHEN level * 1.0e0 / greatest(roof, 1) > 0.95e0 THEN 'multiple horizontal' WHEN slanted > 0 THEN 'slanted' ELSE 'no planes' END AS roof_type FROM counted""",
+        count(DISTINCT CASE WHEN label <> 0 THEN label END) AS planes, min(CASE WHEN up >= 0.3e0 THEN z END) AS z_min, max(CASE WHEN up >= 0.3e0 THEN z END) AS z_max FROM tagged GROUP BY fid)
+      SELECT c.fid, CAST(roof AS BIGINT) AS roof_points, CAST(wall AS BIGINT) AS wall_points, CAST(unsegmented AS BIGINT) AS unsegmented_points, horizontal, slanted, z_min, z_max, z_50p, z_70p,
+        CASE WHEN planes = 0 THEN 'no points' WHEN horizontal = 1 AND slanted = 0 THEN 'horizontal' WHEN level * 1.0e0 / greatest(roof, 1) > 0.95e0 THEN 'multiple horizontal' WHEN slanted > 0 THEN 'slanted' ELSE 'no planes' END AS roof_type FROM counted c LEFT JOIN heights h ON c.fid = h.fid""",
     "j8_mesh_quality": f"""WITH p AS (SELECT bucket AS fid, x, y, z, count(*) AS n FROM points WHERE cls = 6 GROUP BY bucket, x, y, z),
       t AS (SELECT *, (y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0) AS nx, (z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0) AS ny, (x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0) AS nz FROM triangles WHERE label = 1),
       d AS (SELECT p.*, t.tri_id, CASE WHEN {beside(0, 1)} AND {beside(1, 2)} AND {beside(2, 0)} THEN power((x - x0) * nx + (y - y0) * ny + (z - z0) * nz, 2) / (nx * nx + ny * ny + nz * nz)
@@ -113,8 +126,8 @@ SQL = {
         FROM part_ WHERE least(nc * 8 + 10, col * 5 + 5) > greatest(nc * 8 + 2, col * 5) AND least(nr * 8 + 10, row_ * 5 + 5) > greatest(nr * 8 + 2, row_ * 5)),
       best AS (SELECT *, row_number() OVER (PARTITION BY nc, nr ORDER BY area DESC, face) AS rn FROM share)
       SELECT CAST(nc AS BIGINT) AS col, CAST(nr AS BIGINT) AS row_, face, segid, in_footprint FROM best WHERE rn = 1""",
-    "a9_roof_parts": f"""WITH {ROOF_CELLS}, ranked AS (SELECT fid, tri_id, z, row_number() OVER (PARTITION BY fid, tri_id ORDER BY z) AS rn, count(*) OVER (PARTITION BY fid, tri_id) AS n FROM cells),
-      h AS (SELECT fid, tri_id, min(z) AS h_min, max(z) AS h_max, max(CASE WHEN rn = floor((n - 1) * 0.5e0) + 1 THEN z END) AS h_50p, max(CASE WHEN rn = floor((n - 1) * 0.7e0) + 1 THEN z END) AS h_70p FROM ranked GROUP BY fid, tri_id),
+    "a9_roof_parts": f"""WITH {ROOF_CELLS}, ordered AS (SELECT fid, tri_id, z, row_number() OVER (PARTITION BY fid, tri_id ORDER BY z) AS rn, count(*) OVER (PARTITION BY fid, tri_id) AS n FROM cells),
+      h AS (SELECT fid, tri_id, min(z) AS h_min, max(z) AS h_max, max(CASE WHEN rn = floor((n - 1) * 0.5e0) + 1 THEN z END) AS h_50p, max(CASE WHEN rn = floor((n - 1) * 0.7e0) + 1 THEN z END) AS h_70p FROM ordered GROUP BY fid, tri_id),
       slope AS (SELECT fid, tri_id, least(z0, z1, z2) AS z_min, greatest(z0, z1, z2) AS z_max, (y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0) AS nx, (z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0) AS ny, (x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0) AS nz FROM triangles)
       SELECT s.fid, s.tri_id, {near('coalesce(h_min, z_min)')} AS h_min, {near('coalesce(h_max, z_max)')} AS h_max, {near('coalesce(h_50p, z_min)')} AS h_50p, {near('coalesce(h_70p, z_max)')} AS h_70p,
         {near('degrees(atan2(sqrt(nx * nx + ny * ny), nz))')} AS slope, {near('CASE WHEN atan2(nx, ny) < 0 THEN degrees(atan2(nx, ny)) + 360 ELSE degrees(atan2(nx, ny)) END')} AS azimuth
@@ -125,19 +138,17 @@ SQL = {
       UNION ALL SELECT v.fid, 1, 0, printf('%d %d 0', v.n, coalesce(f.n, 0)) FROM (SELECT fid, count(*) AS n FROM vertex GROUP BY fid) v LEFT JOIN (SELECT fid, count(*) AS n FROM kept GROUP BY fid) f ON v.fid = f.fid
       UNION ALL SELECT fid, 2, v, printf('%.5f %.5f %.5f', x, y, z) FROM vertex
       UNION ALL SELECT fid, 3, tri_id, printf('3 %d %d %d', v0, v1, v2) FROM kept""",
-    "m2_polygon_offset": f"""WITH u AS (SELECT *, (by_ - ay) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS nx, (ax - bx) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS ny FROM ring_edges)
-      SELECT q.fid, q.i, {near('q.ax + 4 * (p.nx + q.nx) / (1 + p.nx * q.nx + p.ny * q.ny)')} AS x, {near('q.ay + 4 * (p.ny + q.ny) / (1 + p.nx * q.nx + p.ny * q.ny)')} AS y FROM u q JOIN u p ON q.fid = p.fid AND p.i = (q.i + 5) % 6""",
-    "r2_building_raster": f"""WITH {grid(38)}, near_by AS (SELECT f.fid, p.z, p.cls, CAST(floor(p.x - f.x0 + 1) AS BIGINT) AS col, CAST(floor(p.y - f.y0 + 1) AS BIGINT) AS row_
+    "m2_polygon_offset": f"""WITH u AS (SELECT *, count(*) OVER (PARTITION BY fid) AS n, (by_ - ay) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS nx, (ax - bx) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS ny FROM ring_edges)
+      SELECT q.fid, q.i, {near('q.ax + 4 * (p.nx + q.nx) / (1 + p.nx * q.nx + p.ny * q.ny)')} AS x, {near('q.ay + 4 * (p.ny + q.ny) / (1 + p.nx * q.nx + p.ny * q.ny)')} AS y FROM u q JOIN u p ON q.fid = p.fid AND p.i = (q.i + q.n - 1) % q.n""",
+    "r2_building_raster": f"""WITH {SHAPES}, near_by AS (SELECT f.fid, p.z, p.cls, CAST(floor(p.x - f.x0 + 1) AS BIGINT) AS col, CAST(floor(p.y - f.y0 + 1) AS BIGINT) AS row_
         FROM points p JOIN footprint_buckets f ON p.bucket = f.bucket AND p.x BETWEEN f.x0 - 1 AND f.x1 + 1 AND p.y BETWEEN f.y0 - 1 AND f.y1 + 1 WHERE p.cls <> 1),
       cloud AS (SELECT fid, col, row_, max(CASE WHEN cls = 6 THEN z END) AS building, max(CASE WHEN cls = 2 THEN z END) AS ground FROM near_by GROUP BY fid, col, row_),
-      ranked AS (SELECT fid, z, row_number() OVER (PARTITION BY fid ORDER BY z) AS rn, count(*) OVER (PARTITION BY fid) AS n FROM near_by WHERE cls = 2),
-      low AS (SELECT fid, max(z) AS z FROM ranked WHERE rn = floor((n - 1) * 0.05e0) + 1 GROUP BY fid),
-      cell AS (SELECT f.fid, c.r AS col, r.r AS row_, f.x0 + c.r - 0.5e0 AS cx, f.y0 + r.r - 0.5e0 AS cy FROM footprints f CROSS JOIN rows_ c CROSS JOIN rows_ r WHERE c.r < 27),
-      outside AS (SELECT c.fid, c.col, c.row_, sum(CASE WHEN (e.ay > c.cy) <> (e.by_ > c.cy) AND c.cx < (e.bx - e.ax) * (c.cy - e.ay) / (e.by_ - e.ay) + e.ax THEN 1 ELSE 0 END) % 2 = 0 AS beyond
-        FROM cell c JOIN ring_edges e ON c.fid = e.fid GROUP BY c.fid, c.col, c.row_)
+      ground_ AS (SELECT fid, z FROM near_by WHERE cls = 2), low AS (SELECT fid, {percentile(0.05)} AS z FROM ({ranked('ground_')}) AS q GROUP BY fid),
+      across AS (SELECT *, {series('0', 'CAST(floor(x1 - x0 + 3) AS BIGINT) - 1')} AS col FROM shapes WHERE bucket = fid), cell AS (SELECT *, {series('0', 'CAST(floor(y1 - y0 + 3) AS BIGINT) - 1')} AS row_ FROM across),
+      placed AS (SELECT fid, CAST(col AS BIGINT) AS col, CAST(row_ AS BIGINT) AS row_, NOT ({inside('(x0 + col - 0.5e0)', '(y0 + row_ - 0.5e0)')}) AS beyond FROM cell)
       SELECT o.fid, o.col, o.row_, CASE WHEN o.beyond THEN greatest(low.z, coalesce(p.building, low.z)) ELSE coalesce(p.building, p.ground) END AS z
-      FROM outside o LEFT JOIN cloud p ON o.fid = p.fid AND o.col = p.col AND o.row_ = p.row_ LEFT JOIN low ON o.fid = low.fid""",
+      FROM placed o LEFT JOIN cloud p ON o.fid = p.fid AND o.col = p.col AND o.row_ = p.row_ LEFT JOIN low ON o.fid = low.fid""",
     "r3_segment_raster": f"WITH {ROOF_CELLS} SELECT fid, col, row_, {near('max(z)')} AS z, CAST(count(*) OVER (PARTITION BY fid) AS DOUBLE) AS data_area FROM cells GROUP BY fid, col, row_",
-    "r4_polygon_cells": f"WITH {grid(36)}, sides AS (SELECT e.fid, e.ax - f.x0 AS ax, e.ay - f.y0 AS ay, e.bx - f.x0 AS bx, e.by_ - f.y0 AS by_ FROM ring_edges e JOIN footprints f ON e.fid = f.fid), {scanned('sides', 'fid', 25)} SELECT fid, col, row_ FROM filled",
+    "r4_polygon_cells": f"WITH sides AS (SELECT e.fid, e.ax - f.x0 AS ax, e.ay - f.y0 AS ay, e.bx - f.x0 AS bx, e.by_ - f.y0 AS by_ FROM ring_edges e JOIN footprints f ON e.fid = f.fid), {scanned('sides', 'fid')} SELECT fid, col, row_ FROM filled",
     "x17_unlabelled_area": f"SELECT fid, 25.0e0 * sum(CASE WHEN segid = 0 THEN 1 ELSE 0 END) AS area, {near('sum(CASE WHEN segid = 0 THEN 1.0e0 ELSE 0.0e0 END) / count(*)')} AS share FROM arr_face WHERE in_footprint GROUP BY fid",
 }
