@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,10 +11,20 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` from files in the shared checkpoint folder; a temporary folder only where none is named."""
-    context = df.sparkSession.sparkContext
+    """``df`` from files in the folder that ``spark.checkpoint.dir`` names.
+
+    Where none is named a temporary folder serves on one machine, until Python ends; a cluster must name one.
+    """
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rooftide-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not named:
+            folder = tempfile.mkdtemp(prefix="rooftide-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            named = "file://" + folder
+        context.setCheckpointDir(named)
     return df.checkpoint()
 
 

@@ -17,7 +17,7 @@ from rooftide.plans.surfaces import SHAPES, inside, near, percentile, ranked
 
 #: Points with the footprints whose ring holds them: an equality of buckets, then boxes, then crossings counted over the ring's edges in place.
 _PIP = f"""{SHAPES},
-pip AS (SELECT f.fid, p.x, p.y, p.z, p.cls FROM points p JOIN shapes f ON p.bucket = f.bucket AND p.x BETWEEN f.x0 AND f.x1 AND p.y BETWEEN f.y0 AND f.y1 WHERE {inside('p.x', 'p.y')})"""
+pip AS (SELECT /*+ SHUFFLE_HASH(f) */ f.fid, p.x, p.y, p.z, p.cls FROM points p JOIN shapes f ON p.bucket = f.bucket AND p.x BETWEEN f.x0 AND f.x1 AND p.y BETWEEN f.y0 AND f.y1 WHERE {inside('p.x', 'p.y')})"""
 _AREA = "area AS (SELECT fid, abs(sum(ax * by_ - bx * ay)) / 2 AS area FROM ring_edges GROUP BY fid)"
 #: Roof pixels of 1 x 1 within the faces of 5 x 5, and what they say of each face of the footprint.
 _ZONAL = f"""pixel AS (SELECT floor(x) AS c, floor(y) AS r, max(z) AS z FROM points WHERE cls = 6 GROUP BY floor(x), floor(y)),
@@ -87,7 +87,7 @@ SQL = {
       c AS (SELECT a.fid, a.area, coalesce(k.bld, 0) AS bld, coalesce(k.grd, 0) AS grd FROM area a LEFT JOIN k ON a.fid = k.fid),
       m AS (SELECT sum(bld + grd) / sum(area) AS mean FROM c), s AS (SELECT max(mean) AS mean, sqrt(avg((mean - bld / area) * (mean - bld / area))) AS dev FROM c CROSS JOIN m)
       SELECT fid, {near('area')} AS area, bld, grd, {near('bld / area')} AS density, CASE WHEN bld / area < mean - 2 * dev THEN 'insufficient' ELSE 'sufficient' END AS coverage FROM c CROSS JOIN s""",
-    "a1_ground_elevation": f"""WITH g AS (SELECT f.fid, p.z FROM points p JOIN footprint_buckets f ON p.bucket = f.bucket AND p.x BETWEEN f.x0 AND f.x1 AND p.y BETWEEN f.y0 AND f.y1 WHERE p.cls = 2),
+    "a1_ground_elevation": f"""WITH g AS (SELECT /*+ SHUFFLE_HASH(f) */ f.fid, p.z FROM points p JOIN footprint_buckets f ON p.bucket = f.bucket AND p.x BETWEEN f.x0 AND f.x1 AND p.y BETWEEN f.y0 AND f.y1 WHERE p.cls = 2),
       r AS (SELECT fid, {percentile(0.05)} AS z FROM ({ranked('g')}) AS q GROUP BY fid), low AS (SELECT min(z) AS z FROM points WHERE cls = 2)
       SELECT f.fid, coalesce(r.z, low.z) AS ground FROM footprints f CROSS JOIN low LEFT JOIN r ON f.fid = r.fid""",
     "a2_floor_rank_percentile": f"WITH g AS (SELECT l_suppkey AS fid, z FROM points) SELECT fid, {percentile(0.5)} AS p50, {percentile(0.7)} AS p70, {percentile(0.99)} AS p97 FROM ({ranked('g')}) AS q GROUP BY fid",
@@ -164,7 +164,12 @@ SQL = {
     "s3_building_selector": "SELECT * FROM features WHERE fid = 0",
     "s6_print_result": "SELECT fid, concat('Result: ', CAST(fid AS VARCHAR(20))) AS info FROM features",
     "u1_point_cloud_merger": "SELECT cls, count(*) AS n FROM (SELECT cls FROM points WHERE cls = 2 UNION ALL SELECT cls FROM points WHERE cls = 6) AS u GROUP BY cls",
-    "x2_label_costs": f"SELECT a.face, p.plane_id, {near('25 * abs(a.elevation_50p + (p.a * (a.col * 5 + 2.5e0) + p.b * (a.row_ * 5 + 2.5e0) + p.d) / p.c)')} AS cost FROM arr_face a JOIN planes p ON a.fid = p.fid WHERE a.in_footprint",
+    "x2_label_costs": f"""WITH {_ZONAL}, held AS (SELECT a.face, a.fid, p.c, p.r, p.z FROM pixel p JOIN arr_face a ON floor(p.c / 5) = a.col AND floor(p.r / 5) = a.row_ WHERE a.in_footprint),
+      cost AS (SELECT h.face, q.plane_id, sum(CAST(floor(abs(h.z + (q.a * (h.c + 0.5e0) + q.b * (h.r + 0.5e0) + q.d) / q.c) * 1e6 + 0.5e0) AS BIGINT)) AS off FROM held h JOIN planes q ON h.fid = q.fid GROUP BY h.face, q.plane_id),
+      most AS (SELECT max(off) AS top FROM cost)
+      SELECT face, plane_id, {near('50 * (CAST(off AS DOUBLE) / CAST(top AS DOUBLE))')} AS cost FROM cost CROSS JOIN most""",
+    "x2_smoothness_costs": f"""WITH e AS (SELECT h.face, h.twin_face, sum(h.len) AS len FROM arr_halfedge h JOIN arr_face a ON h.face = a.face JOIN arr_face b ON h.twin_face = b.face WHERE a.in_footprint AND b.in_footprint GROUP BY h.face, h.twin_face),
+      most AS (SELECT max(len) AS top FROM e) SELECT face, twin_face, {near('len / top')} AS cost FROM e CROSS JOIN most""",
     "x6_same_segment_edges": "SELECT h.face, h.twin_face FROM arr_halfedge h JOIN arr_face a ON h.face = a.face JOIN arr_face b ON h.twin_face = b.face WHERE a.in_footprint AND b.in_footprint AND a.segid = b.segid AND a.segid <> 0",
     "x9_footprint_dissolve": "SELECT h.face, h.twin_face FROM arr_halfedge h JOIN arr_face a ON h.face = a.face JOIN arr_face b ON h.twin_face = b.face WHERE a.in_footprint <> b.in_footprint",
     "x13_biggest_faces": "SELECT fid, segid, pixel_count FROM (SELECT fid, segid, CAST(sum(pixel_count) AS BIGINT) AS pixel_count, sum(sum(pixel_count)) OVER (PARTITION BY fid) AS total FROM arr_face GROUP BY fid, segid) AS t WHERE pixel_count > 0.34e0 * total",
@@ -203,10 +208,15 @@ def oracle() -> dict[str, str]:
 
 
 def query(name: str):
-    """The query of that name, as a function of the session and the folder of tables."""
+    """The query of that name, as a function of the session and the folder of tables.
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = read(with_views(SQL[name]), "spark")
+    Views given by name, such as ``points=`` of a scanned cloud, stand in for those made from the tables.
+    """
+
+    def run(spark: SparkSession, sf_dir: str, **given: DataFrame) -> DataFrame:
+        for view, rows in given.items():
+            rows.createOrReplaceTempView(view)
+        text = read(with_views(SQL[name], tuple(given)), "spark")
         for table in TABLES:
             if table in text:
                 spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)

@@ -70,15 +70,15 @@ FROM supplier
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-def with_views(sql: str) -> str:
-    """``sql`` with the views it names, and those they name, as common table expressions."""
+def with_views(sql: str, given: tuple[str, ...] = ()) -> str:
+    """``sql`` with the views it names, and those they name, as common table expressions; those ``given`` exist already."""
     import re
 
     wanted: list[str] = []
 
     def need(text: str) -> None:
         for name in VIEWS:
-            if re.search(rf"\b{name}\b", text) and name not in wanted:
+            if name not in given and re.search(rf"\b{name}\b", text) and name not in wanted:
                 need(VIEWS[name])
                 wanted.append(name)
 

@@ -1,7 +1,7 @@
 """Queries over plane adjacency, nearest points, polygon rasters, roof parts and indexed meshes, for Spark and DuckDB.
 
-Neighbours are sought within one feature, as each feature's cloud is cropped before; pairs of points thus grow with the
-number of features, not with its square. Equal points are folded, and equal distances go to the smaller coordinates.
+Neighbours are sought within one feature, in the cells around a point first, and in the whole feature only where these
+don't settle the answer. Equal distances go to the smaller coordinates.
 """
 
 from __future__ import annotations
@@ -37,11 +37,38 @@ def percentile(p: float) -> str:
 _LABELLED = "labelled AS (SELECT DISTINCT bucket AS fid, x - bucket * 20 AS x, y, z, CAST(l_suppkey % 5 AS INT) AS label FROM points WHERE cls = 6)"
 
 
+#: Side of the cells in which neighbours are sought first, and steps to the cells around.
+CELL = 4
+_AROUND = "o(d) AS (VALUES (-1), (0), (1))"
+_SQUARED = "(p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)"
+
+
+def celled(rows: str) -> str:
+    return f"(SELECT *, floor(x / {CELL}) AS cx, floor(y / {CELL}) AS cy FROM {rows})"
+
+
+def around(rows: str) -> str:
+    """Rows once for each of the nine cells about them, ``jx, jy``."""
+    return f"(SELECT p.*, p.cx + a.d AS jx, p.cy + b.d AS jy FROM {celled(rows)} AS p CROSS JOIN o a CROSS JOIN o b)"
+
+
 def adjacency(k: int = 15) -> str:
-    """Plane pairs with the number of cross-label neighbours among each labelled point's ``k`` nearest."""
-    return f"""pairs AS (SELECT p.fid, p.x, p.y, p.z, p.label, q.label AS other, row_number() OVER (PARTITION BY p.fid, p.x, p.y, p.z, p.label
-        ORDER BY (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z), q.x, q.y, q.z, q.label) AS rn
-      FROM labelled p JOIN labelled q ON p.fid = q.fid AND (p.x <> q.x OR p.y <> q.y OR p.z <> q.z OR p.label <> q.label) WHERE p.label <> 0),
+    """Plane pairs with the number of cross-label neighbours among each labelled point's ``k`` nearest.
+
+    Neighbours come from the cells around; a point counts as done if its k-th is no farther than a cell's side, as all
+    nearer ones are there then. Only the others are compared with their whole feature.
+    """
+    order = f"ORDER BY {_SQUARED}, q.x, q.y, q.z, q.label"
+    own = "PARTITION BY p.fid, p.x, p.y, p.z, p.label"
+    other = "(p.x <> q.x OR p.y <> q.y OR p.z <> q.z OR p.label <> q.label)"
+    return f"""{_AROUND}, seeking AS (SELECT * FROM labelled WHERE label <> 0),
+    close_by AS (SELECT p.fid, p.x, p.y, p.z, p.label, q.label AS other, {_SQUARED} AS squared, row_number() OVER ({own} {order}) AS rn
+      FROM {around('seeking')} AS p JOIN {celled('labelled')} AS q ON p.fid = q.fid AND p.jx = q.cx AND p.jy = q.cy AND {other}),
+    done AS (SELECT DISTINCT fid, x, y, z, label FROM close_by WHERE rn = {k} AND squared <= {CELL * CELL}),
+    rest AS (SELECT s.* FROM seeking s LEFT JOIN done d ON s.fid = d.fid AND s.x = d.x AND s.y = d.y AND s.z = d.z AND s.label = d.label WHERE d.fid IS NULL),
+    far_off AS (SELECT p.fid, p.x, p.y, p.z, p.label, q.label AS other, row_number() OVER ({own} {order}) AS rn FROM rest p JOIN labelled q ON p.fid = q.fid AND {other}),
+    pairs AS (SELECT c.fid, c.label, c.other, c.rn FROM close_by c JOIN done d ON c.fid = d.fid AND c.x = d.x AND c.y = d.y AND c.z = d.z AND c.label = d.label
+      UNION ALL SELECT fid, label, other, rn FROM far_off),
     adjacent AS (SELECT fid, greatest(label, other) AS hi, least(label, other) AS lo, count(*) AS cnt FROM pairs WHERE rn <= {k} AND other <> 0 AND other <> label GROUP BY 1, 2, 3)"""
 
 
@@ -117,9 +144,11 @@ SQL = {
       SELECT fid, hi, lo, {near('px + s0 * dx')} AS x0, {near('py + s0 * dy')} AS y0, {near('pz + s0 * dz')} AS z0, {near('px + s1 * dx')} AS x1, {near('py + s1 * dy')} AS y1, {near('pz + s1 * dz')} AS z1,
         {near('abs(s1 - s0)')} AS length FROM both_ WHERE (s1 - s0) * (s1 - s0) > 1e-10""",
     "j6_plane_adjacency": f"WITH {_LABELLED}, {adjacency()} SELECT fid, hi, lo, cnt FROM adjacent",
-    "j7_nearest_distance": f"""WITH s AS (SELECT DISTINCT bucket AS fid, x, y, z, cls FROM points WHERE cls <> 1)
-      SELECT a.fid, a.x, a.y, a.z, {near('sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)))')} AS distance
-      FROM s a JOIN s b ON a.fid = b.fid WHERE a.cls = 6 AND b.cls = 2 GROUP BY a.fid, a.x, a.y, a.z""",
+    "j7_nearest_distance": f"""WITH {_AROUND}, s AS (SELECT DISTINCT bucket AS fid, x, y, z, cls FROM points WHERE cls <> 1), from_ AS (SELECT fid, x, y, z FROM s WHERE cls = 6), to_ AS (SELECT fid, x, y, z FROM s WHERE cls = 2),
+      close_by AS (SELECT p.fid, p.x, p.y, p.z, min({_SQUARED}) AS squared FROM {around('from_')} AS p JOIN {celled('to_')} AS q ON p.fid = q.fid AND p.jx = q.cx AND p.jy = q.cy GROUP BY p.fid, p.x, p.y, p.z),
+      done AS (SELECT * FROM close_by WHERE squared <= {CELL * CELL}), rest AS (SELECT f.* FROM from_ f LEFT JOIN done d ON f.fid = d.fid AND f.x = d.x AND f.y = d.y AND f.z = d.z WHERE d.fid IS NULL),
+      found AS (SELECT * FROM done UNION ALL SELECT p.fid, p.x, p.y, p.z, min({_SQUARED}) FROM rest p JOIN to_ q ON p.fid = q.fid GROUP BY p.fid, p.x, p.y, p.z)
+      SELECT fid, x, y, z, {near('sqrt(squared)')} AS distance FROM found""",
     "j9_point_location": "SELECT a.face, a.fid, a.segid, count(*) AS located, max(p.z) AS z FROM points p JOIN arr_face a ON floor(p.x / 5) = a.col AND floor(p.y / 5) = a.row_ WHERE p.cls <> 1 GROUP BY a.face, a.fid, a.segid",
     "j9_carry_attributes": """WITH o(d) AS (VALUES (0), (1)), part_ AS (SELECT floor((a.col * 5 - 2 + o.d * 5) / 8.0e0) AS nc, floor((a.row_ * 5 - 2 + q.d * 5) / 8.0e0) AS nr, a.* FROM arr_face a CROSS JOIN o CROSS JOIN o q),
       share AS (SELECT DISTINCT nc, nr, face, segid, in_footprint, (least(nc * 8 + 10, col * 5 + 5) - greatest(nc * 8 + 2, col * 5)) * (least(nr * 8 + 10, row_ * 5 + 5) - greatest(nr * 8 + 2, row_ * 5)) AS area
@@ -140,7 +169,7 @@ SQL = {
       UNION ALL SELECT fid, 3, tri_id, printf('3 %d %d %d', v0, v1, v2) FROM kept""",
     "m2_polygon_offset": f"""WITH u AS (SELECT *, count(*) OVER (PARTITION BY fid) AS n, (by_ - ay) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS nx, (ax - bx) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS ny FROM ring_edges)
       SELECT q.fid, q.i, {near('q.ax + 4 * (p.nx + q.nx) / (1 + p.nx * q.nx + p.ny * q.ny)')} AS x, {near('q.ay + 4 * (p.ny + q.ny) / (1 + p.nx * q.nx + p.ny * q.ny)')} AS y FROM u q JOIN u p ON q.fid = p.fid AND p.i = (q.i + q.n - 1) % q.n""",
-    "r2_building_raster": f"""WITH {SHAPES}, near_by AS (SELECT f.fid, p.z, p.cls, CAST(floor(p.x - f.x0 + 1) AS BIGINT) AS col, CAST(floor(p.y - f.y0 + 1) AS BIGINT) AS row_
+    "r2_building_raster": f"""WITH {SHAPES}, near_by AS (SELECT /*+ SHUFFLE_HASH(f) */ f.fid, p.z, p.cls, CAST(floor(p.x - f.x0 + 1) AS BIGINT) AS col, CAST(floor(p.y - f.y0 + 1) AS BIGINT) AS row_
         FROM points p JOIN footprint_buckets f ON p.bucket = f.bucket AND p.x BETWEEN f.x0 - 1 AND f.x1 + 1 AND p.y BETWEEN f.y0 - 1 AND f.y1 + 1 WHERE p.cls <> 1),
       cloud AS (SELECT fid, col, row_, max(CASE WHEN cls = 6 THEN z END) AS building, max(CASE WHEN cls = 2 THEN z END) AS ground FROM near_by GROUP BY fid, col, row_),
       ground_ AS (SELECT fid, z FROM near_by WHERE cls = 2), low AS (SELECT fid, {percentile(0.05)} AS z FROM ({ranked('ground_')}) AS q GROUP BY fid),

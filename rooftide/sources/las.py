@@ -1,7 +1,8 @@
 """Reader for uncompressed LAS 1.2 to 1.4 files, as the data source ``las``.
 
 ``register(spark)`` names it; then ``spark.read.format("las").option("path", ...)``. ``path`` is a file, a folder or several of
-them with spaces between, which every executor must see under the same name. ``x0, y0, x1, y1`` give an area of interest:
+them with spaces between: local names, or addresses of a file system that Arrow opens (``hdfs://``, ``s3://`` and others), so
+that executors need no copy. ``x0, y0, x1, y1`` give an area of interest:
 files whose header box misses it aren't opened again, and only points inside (borders included) are returned. Large files
 are read in parts of ``points`` records (1,000,000). A folder without LAS files gives no rows; LAZ files raise an error.
 """
@@ -15,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -36,8 +38,14 @@ class Header:
     vlrs: int
 
 
+def opened(path: str):
+    """A file to read at any place, local or by the file system that its address names."""
+    store, name = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+    return store.open_input_file(name)
+
+
 def header(path: str) -> Header:
-    with open(path, "rb") as f:
+    with opened(path) as f:
         raw = f.read(375)
     if len(raw) < 227 or raw[:4] != b"LASF":
         raise ValueError(f"{path} is not a LAS file")
@@ -55,7 +63,7 @@ def header(path: str) -> Header:
 def wkt(path: str) -> str | None:
     """The coordinate system as text (record 2112), or None if the file names none."""
     h = header(path)
-    with open(path, "rb") as f:
+    with opened(path) as f:
         f.seek(h.vlr_start)
         for _ in range(h.vlrs):
             _, user, record, length, _ = struct.unpack("<H16sHH32s", f.read(54))
@@ -69,6 +77,14 @@ def files(paths: str) -> list[str]:
     """LAS and LAZ files of the named files and folders, sorted within each folder."""
     found: list[str] = []
     for name in paths.split():
+        if "://" in name:
+            store, at = FileSystem.from_uri(name)
+            if store.get_file_info(at).type == FileType.Directory:
+                root = name.rstrip("/")[: -len(at.rstrip("/"))]
+                found += sorted(root + f.path for f in store.get_file_info(FileSelector(at)) if f.extension in ("las", "LAS", "laz", "LAZ"))
+            else:
+                found.append(name)
+            continue
         p = Path(name)
         found += [str(c) for c in sorted(p.iterdir()) if c.suffix in (".las", ".LAS", ".laz", ".LAZ")] if p.is_dir() else [name]
     return found
@@ -106,7 +122,9 @@ class LasReader(DataSourceReader):
         record = np.dtype({"names": ["xyz", "intensity", "cls"], "formats": ["<3i4", "<u2", "u1"], "offsets": [0, 12, at], "itemsize": h.length})
         for first in range(part.first, part.first + part.count, 65536):
             n = min(65536, part.first + part.count - first)
-            rows = np.fromfile(part.path, record, n, offset=h.start + first * h.length)
+            with opened(part.path) as f:
+                f.seek(h.start + first * h.length)
+                rows = np.frombuffer(f.read(n * h.length), record) if h.length else np.zeros(0, record)
             if len(rows) < n:
                 raise ValueError(f"{part.path} ends before its {h.records} points")
             xyz = rows["xyz"] * np.array(h.scale) + np.array(h.shift)

@@ -45,6 +45,7 @@ def test_las_points_areas_and_formats(spark, tmp_path):
     assert read(spark, path=str(tmp_path)) == rows
     assert read(spark, path=f"{tmp_path}/b.LAS {tmp_path}/a.las", points="2") == rows
     assert read(spark, path=str(tmp_path), x0="4.25", y0="0", x1="20", y1="20") == rows[1:3]
+    assert read(spark, path=f"file://{tmp_path}") == rows and read(spark, path=f"file://{tmp_path}/b.LAS") == rows[3:]
     assert read(spark, path=str(tmp_path), x0="900", y0="0", x1="999", y1="20") == []
     assert las.wkt(f"{tmp_path}/b.LAS") == 'PROJCS["x"]' and las.wkt(f"{tmp_path}/a.las") is None
 
@@ -57,6 +58,19 @@ def test_las_refuses_other_files(tmp_path):
             las.header(f"{tmp_path}/{name}")
 
 
+def test_a_scan_feeds_the_spatial_join(spark, tmp_path):
+    """From LAS files to counts and coverage of footprints, as from the tables."""
+    folder = "/root/testdata/sf0.001"
+    tables = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr("CAST(l_partkey AS DOUBLE) AS x", "l_quantity AS y", "round(l_extendedprice / 1000, 2) AS z", "CASE l_returnflag WHEN 'A' THEN 2 WHEN 'N' THEN 6 ELSE 1 END AS cls").collect()
+    for i in range(2):
+        las_file(tmp_path / f"{i}.las", [(r.x, r.y, r.z) for r in tables[i::2]], [r.cls for r in tables[i::2]])
+    las.register(spark)
+    cloud = spark.read.format("las").load(str(tmp_path)).selectExpr("x", "y", "z", "classification AS cls", "CAST(floor(x / 20) AS BIGINT) AS bucket")
+    for name, columns in (("j1_points_in_polygons", ["fid", "cls", "points"]), ("a1_coverage_class", ["fid", "bld", "grd", "coverage"])):
+        got = catalog.QUERIES[name](spark, folder, points=cloud).select(*columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, catalog.QUERIES[name](spark, folder).select(*columns).collect()))
+
+
 def test_off_files(spark, tmp_path):
     write_off(catalog.QUERIES["s4_off_text"](spark, "/root/testdata/sf0.001"), f"{tmp_path}/off")
     (only,) = (tmp_path / "off/fid=3").glob("*.txt")
