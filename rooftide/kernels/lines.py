@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from math import atan2, cos, sin
+
 import numpy as np
 
 from rooftide.kernels.planes import neighbours
@@ -14,37 +17,67 @@ def line_of(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return centre, axes[:, -1]
 
 
-def off_line(p: np.ndarray, centre: np.ndarray, way: np.ndarray) -> np.ndarray:
-    """Squared distances from a line."""
-    d = p - centre
-    return np.maximum((d * d).sum(-1) - (d @ way) ** 2, 0)
+class Growing:
+    """A line in the plane through points that come one by one, from their sums."""
+
+    def __init__(self):
+        self.n = self.x = self.y = self.xx = self.xy = self.yy = 0.0
+
+    def add(self, x: float, y: float) -> None:
+        self.n, self.x, self.y = self.n + 1, self.x + x, self.y + y
+        self.xx, self.xy, self.yy = self.xx + x * x, self.xy + x * y, self.yy + y * y
+
+    def fit(self) -> None:
+        self.mx, self.my = self.x / self.n, self.y / self.n
+        turn = 0.5 * atan2(2 * (self.xy / self.n - self.mx * self.my), (self.xx / self.n - self.mx**2) - (self.yy / self.n - self.my**2))
+        self.ux, self.uy = cos(turn), sin(turn)
+
+    def off(self, x: float, y: float) -> float:
+        """Squared distance from the line as last fitted."""
+        return ((x - self.mx) * self.uy - (y - self.my) * self.ux) ** 2
+
+
+def through(points: list[tuple[float, float]]) -> Growing:
+    line = Growing()
+    for x, y in points:
+        line.add(x, y)
+    line.fit()
+    return line
 
 
 def detect(p: np.ndarray, threshold: float = 0.4, counts: range = range(10, 4, -1), k: int = 5) -> list[np.ndarray]:
-    """Members of each line, in the order of the ring, sought with falling least counts.
+    """Members of each line along a ring in the plane, in the order of the ring, sought with falling least counts.
 
     Seeds come by falling residual of the line through a point and its
     neighbours; a region takes neighbours near its line, fitted anew each time.
     """
     if len(p) < 2:
         return []
-    near = neighbours(p, k)
-    rough = [off_line(p[[i, *near[i]]], *line_of(p[[i, *near[i]]])).sum() for i in range(len(p))]
-    free, found = np.ones(len(p), bool), []
+    # sums of products lose less around the middle
+    at = [tuple(q) for q in (p - p.mean(0)).tolist()]
+    near = neighbours(p, k).tolist()
+    first = [[at[i], *(at[j] for j in near[i])] for i in range(len(p))]
+    local = [through(own) for own in first]
+    rough = [round(sum(line.off(*q) for q in own), 12) for line, own in zip(local, first, strict=True)]
+    order = sorted(range(len(p)), key=lambda i: (-rough[i], i))
+    free, found, limit = [True] * len(p), [], threshold**2
     for least in counts:
-        for seed in sorted(range(len(p)), key=lambda i: (-rough[i], i)):
+        for seed in order:
             if not free[seed]:
                 continue
-            members, queue = [seed], [seed]
-            line = line_of(p[[seed, *near[seed]]])
+            members, queue, line, grown = {seed}, deque([seed]), local[seed], Growing()
+            grown.add(*at[seed])
             while queue:
-                for i in near[queue.pop(0)].tolist():
-                    if free[i] and i not in members and off_line(p[i], *line) < threshold**2:
-                        members.append(i)
+                for i in near[queue.popleft()]:
+                    if free[i] and i not in members and line.off(*at[i]) < limit:
+                        members.add(i)
                         queue.append(i)
-                        line = line_of(p[members])
+                        grown.add(*at[i])
+                        grown.fit()
+                        line = grown
             if len(members) >= least:
-                free[members] = False
+                for i in members:
+                    free[i] = False
                 m = np.array(sorted(members))
                 # a line over the ring's start begins after its widest gap
                 found.append(np.roll(m, -1 - int(np.argmax(np.append(np.diff(m), m[0] + len(p) - m[-1])))))
