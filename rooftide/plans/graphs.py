@@ -16,6 +16,11 @@ from rooftide.plans.fixtures import TABLES, with_views
 _TWINS = "SELECT h.face AS a, h.twin_face AS b FROM arr_halfedge h JOIN arr_face f ON h.face = f.face JOIN arr_face g ON h.twin_face = g.face WHERE f.in_footprint AND g.in_footprint"
 _CELLS = "SELECT DISTINCT bucket AS fid, x, y, CAST(floor(x / 1.0e0) AS BIGINT) AS cx, CAST(floor(y / 1.0e0) AS BIGINT) AS cy, CAST(x * 1000 + y AS BIGINT) AS node FROM points WHERE cls = 6"
 
+#: Spacing of the clusters in space.
+SPACING = 4.0
+_SPACE = f"""SELECT *, row_number() OVER (PARTITION BY fid ORDER BY x, y, z) + fid * 10000000 AS node, CAST(floor(x / {SPACING}e0) AS BIGINT) AS cx, CAST(floor(y / {SPACING}e0) AS BIGINT) AS cy, CAST(floor(z / {SPACING}e0) AS BIGINT) AS cz
+  FROM (SELECT DISTINCT bucket AS fid, x, y, z FROM points WHERE cls = 6) AS d"""
+
 GRAPHS = {
     "g2_cluster_points": (
         _CELLS,
@@ -25,6 +30,14 @@ GRAPHS = {
         WHERE p.node < q.node AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 1""",
         "SELECT fid, component AS cluster_id, count(*) AS cells, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM labelled GROUP BY fid, component",
     ),
+    "g2_cluster_points_3d": (
+        _SPACE,
+        f"""WITH c AS ({_SPACE}), o(d) AS (VALUES (-1), (0), (1)),
+        p AS (SELECT c.*, c.cx + i.d AS jx, c.cy + j.d AS jy, c.cz + k.d AS jz FROM c CROSS JOIN o i CROSS JOIN o j CROSS JOIN o k)
+        SELECT p.node AS a, q.node AS b FROM p JOIN c q ON p.fid = q.fid AND p.jx = q.cx AND p.jy = q.cy AND p.jz = q.cz
+        WHERE p.node < q.node AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) <= {SPACING * SPACING}""",
+        "SELECT fid, component AS cluster_id, count(*) AS points, min(z) AS z0, max(z) AS z1 FROM labelled GROUP BY fid, component",
+    ),
     "x5_segment_dissolve": (
         "SELECT *, face AS node FROM arr_face",
         f"{_TWINS} AND f.segid = g.segid AND f.segid <> 0",

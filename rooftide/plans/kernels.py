@@ -249,6 +249,53 @@ def fit_plane(f: Feature) -> list[dict]:
     return [{"a": _n(a), "b": _n(b), "c": _n(c), "d": _n(d), "rmse": _n(np.sqrt(np.mean((f.cloud @ [a, b, c] + d) ** 2)))}]
 
 
+def floor_rank(z: np.ndarray, share: float) -> float:
+    return float(np.sort(z)[int(np.floor(share * (len(z) - 1)))])
+
+
+def roof_parts(f: Feature, cell: float = 0.5) -> list[dict]:
+    """Heights of each outline's plane over its cells (its corners, if it holds no cell's centre), slope and azimuth."""
+    out = []
+    for i, (plane, ring) in enumerate(f.outlines):
+        a, b, c, d = f.grown[1][plane]
+        x, y = (g.ravel() for g in np.meshgrid(*(np.arange(lo, hi, cell) + cell / 2 for lo, hi in zip(ring.min(0), ring.max(0)))))
+        hit = delaunay.inside(x, y, ring)
+        at = np.stack([x[hit], y[hit]], axis=1) if hit.any() else ring
+        z = -(a * at[:, 0] + b * at[:, 1] + d) / c
+        out.append({"plane": plane, "ring": i, "h_min": _n(z.min()), "h_max": _n(z.max()), "h_50p": _n(floor_rank(z, 0.5)), "h_70p": _n(floor_rank(z, 0.7)),
+                    "slope": _n(np.degrees(np.arccos(min(c, 1.0)))), "azimuth": _n(np.degrees(np.arctan2(a, b)) % 360)})
+    return out
+
+
+def located(f: Feature) -> list[dict]:
+    arr = f.arranged()
+    at = arrangement.locate(arr, f.cloud[:, :2])
+    return [{"face": x, "points": int((at == x).sum()), "z_max": _n(f.cloud[at == x, 2].max())} for x in range(-1, len(arr.faces)) if (at == x).any()]
+
+
+def surface_raster(f: Feature, cell: float = 1.0) -> list[dict]:
+    """Cells of the outline's box: outside it the lowest height, inside the surface over every third point, or null beyond that."""
+    low, high = f.ring.min(0) - cell, f.ring.max(0) + cell
+    x, y = (g.ravel() for g in np.meshgrid(np.arange(int((high[0] - low[0]) / cell + 1)), np.arange(int((high[1] - low[1]) / cell + 1))))
+    at = low + (np.stack([x, y], axis=1) + 0.5) * cell
+    p = f.cloud[::3]
+    z = np.where(delaunay.inside(at[:, 0], at[:, 1], f.ring), delaunay.height_in(p, delaunay.delaunay(p[:, :2]), at), f.cloud[:, 2].min())
+    return [{"col": int(c), "row_": int(r), "z": None if np.isnan(h) else _n(h)} for c, r, h in zip(x, y, z, strict=True)]
+
+
+def split_mesh(f: Feature) -> list[dict]:
+    """The roof with a fin on the edge that its first two triangles share, as vertices and triangles with two of these at most on an edge."""
+    t = f.triangles
+    fin = np.array([t[0, 1], t[0, 2], t[0, 2] + [0, 0, 5]])
+    v, faces = meshes.manifold(*meshes.indexed(np.concatenate([t, [fin]])))
+    return [{"tri": i, "v0": int(a), "v1": int(b), "v2": int(c), "vertices": len(v)} for i, (a, b, c) in enumerate(faces)]
+
+
+def nested(f: Feature) -> list[dict]:
+    found = [f.ring, *(f.ring.mean(0) + (f.ring - f.ring.mean(0)) * s for s in (0.6, 0.3))]
+    return [{"ring": i, "depth": d, "is_hole": d % 2 == 1} for i, d in enumerate(delaunay.nesting(found))]
+
+
 _RING3, _MESH, _FACES = "ring long, i long, x double, y double", "tri long, k long, x double, y double, z double", "face long, area double, vertices long, in_footprint boolean"
 #: Query: the rows it needs, its kernel, and the columns beside ``fid``.
 KERNELS: dict[str, tuple[tuple[str, ...], Callable[[Feature], list[dict]], str]] = {
@@ -275,6 +322,11 @@ KERNELS: dict[str, tuple[tuple[str, ...], Callable[[Feature], list[dict]], str]]
     "m7_mesh_simplify": ((CLOUD,), shorten_mesh, _MESH),
     "m8_mesh_simplify_2d": ((CLOUD,), thin_mesh, _MESH),
     "m9_quadric_simplify": ((CLOUD,), quadric_mesh, _MESH),
+    "a9_outline_parts": ((CLOUD,), roof_parts, "plane long, ring long, h_min double, h_max double, h_50p double, h_70p double, slope double, azimuth double"),
+    "j9_points_in_faces": ((CLOUD, RING), located, "face long, points long, z_max double"),
+    "r2_surface_raster": ((CLOUD, RING), surface_raster, "col long, row_ long, z double"),
+    "m11_manifold_mesh": ((TRIANGLES,), split_mesh, "tri long, v0 long, v1 long, v2 long, vertices long"),
+    "f10_ring_nesting": ((RING,), nested, "ring long, depth long, is_hole boolean"),
     "r6_filter_25d": ((CLOUD,), filter_surface, "points long, kept long, triangles long"),
     "u2_polygon_union": ((RING,), union_outlines, _RING3),
     "f11_least_squares_plane": ((CLOUD,), fit_plane, "a double, b double, c double, d double, rmse double"),

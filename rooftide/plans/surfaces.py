@@ -178,6 +178,15 @@ SQL = {
       SELECT o.fid, o.col, o.row_, CASE WHEN o.beyond THEN greatest(low.z, coalesce(p.building, low.z)) ELSE coalesce(p.building, p.ground) END AS z
       FROM placed o LEFT JOIN cloud p ON o.fid = p.fid AND o.col = p.col AND o.row_ = p.row_ LEFT JOIN low ON o.fid = low.fid""",
     "r3_segment_raster": f"WITH {ROOF_CELLS} SELECT fid, col, row_, {near('max(z)')} AS z, CAST(count(*) OVER (PARTITION BY fid) AS DOUBLE) AS data_area FROM cells GROUP BY fid, col, row_",
+    "r3_filled_raster": f"""WITH {ROOF_CELLS}, written AS (SELECT fid, col, row_, max(z) AS z FROM cells WHERE (col + row_) % 3 <> 0 GROUP BY fid, col, row_), w(d) AS (VALUES (-5), (-4), (-3), (-2), (-1), (0), (1), (2), (3), (4)),
+      around_ AS (SELECT r.fid, r.col - a.d AS col, r.row_ - b.d AS row_, min(r.z) AS z FROM written r CROSS JOIN w a CROSS JOIN w b GROUP BY r.fid, r.col - a.d, r.row_ - b.d),
+      box AS (SELECT fid, max(col) AS cols, max(row_) AS rows_ FROM written GROUP BY fid)
+      SELECT n.fid, CAST(n.col AS BIGINT) AS col, CAST(n.row_ AS BIGINT) AS row_, {near('coalesce(r.z, n.z)')} AS z, r.z IS NULL AS filled FROM around_ n JOIN box b ON n.fid = b.fid AND n.col BETWEEN 0 AND b.cols AND n.row_ BETWEEN 0 AND b.rows_
+      LEFT JOIN written r ON n.fid = r.fid AND n.col = r.col AND n.row_ = r.row_""",
+    "r3_cell_size": f"SELECT fid, 0.05e0 * power(2.0e0, greatest(0.0e0, ceil(log2((x1 - x0 + 1) * (y1 - y0 + 1) / (0.05e0 * 0.05e0) / 1e5) / 2))) AS cellsize FROM footprints",
+    "r0_raster_cells": """WITH b AS (SELECT min(x) AS x0, min(y) AS y0, CAST(floor((max(x) - min(x)) / 5 + 1) AS BIGINT) AS dimx, CAST(floor((max(y) - min(y)) / 5 + 1) AS BIGINT) AS dimy FROM points),
+      c AS (SELECT CAST(floor((x - x0) / 5) AS BIGINT) AS col, CAST(floor((y - y0) / 5) AS BIGINT) AS row_, count(*) AS points, min(z) AS z_min, max(z) AS z_max FROM points CROSS JOIN b GROUP BY 1, 2)
+      SELECT col, row_, row_ * dimx + col AS linear, x0 + (col + 0.5e0) * 5 AS cx, y0 + (row_ + 0.5e0) * 5 AS cy, points, z_min, z_max FROM c CROSS JOIN b""",
     "r4_polygon_cells": f"WITH sides AS (SELECT e.fid, e.ax - f.x0 AS ax, e.ay - f.y0 AS ay, e.bx - f.x0 AS bx, e.by_ - f.y0 AS by_ FROM ring_edges e JOIN footprints f ON e.fid = f.fid), {scanned('sides', 'fid')} SELECT fid, col, row_ FROM filled",
     "x17_unlabelled_area": f"SELECT fid, 25.0e0 * sum(CASE WHEN segid = 0 THEN 1 ELSE 0 END) AS area, {near('sum(CASE WHEN segid = 0 THEN 1.0e0 ELSE 0.0e0 END) / count(*)')} AS share FROM arr_face WHERE in_footprint GROUP BY fid",
 }

@@ -242,3 +242,15 @@ def test_meshes_are_clipped_and_collapsed():
         n = np.cross(shorter[faces[:, 1]] - shorter[faces[:, 0]], shorter[faces[:, 2]] - shorter[faces[:, 0]])
         assert len(faces) < len(f) and np.isclose(n[:, 2].sum() / 2, 64) and (n[:, 2] > 0).all()
     assert len(meshes.quadric(v, f, 0.25)[1]) <= round(0.25 * len(f)) + 1
+
+
+def test_edges_of_three_triangles_are_split():
+    v = np.array([[0.0, 0, 0], [1, 0, 0], [0, 1, 0], [0, -1, 0], [0, 0, 1]])
+    out, faces = meshes.manifold(v, np.array([[0, 1, 2], [1, 0, 3], [0, 1, 4]]))
+    assert len(out) == 7 and max(meshes.edges_of(faces.tolist()).values()) == 2 and np.allclose(out[faces[2]], v[[0, 1, 4]])
+    same, kept = meshes.manifold(v, np.array([[0, 1, 2], [1, 0, 3]]))
+    assert len(same) == 5 and kept.tolist() == [[0, 1, 2], [1, 0, 3]]
+
+
+def test_rings_nest():
+    assert delaunay.nesting([SQUARE * 3, SQUARE * 2 + 1, SQUARE / 4 + 3, SQUARE + 50]) == [0, 1, 2, 0]
