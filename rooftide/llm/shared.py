@@ -57,7 +57,7 @@ def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     path = f"{own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(FILES, -(-rows // FILE_ROWS)))
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
