@@ -272,13 +272,13 @@ def search(vectors: DataFrame, every: int, k: int = 5, id_column: str = "vec_id"
                 continue
             ids, x = part.column("id").to_numpy(), matrix(part.column("v"))
             out, block = against(own, ids, x, shape)
-            out = materialize(out, min(total, len(ids)) * k)
+            out = materialize(out)
             block.destroy()
             full = out.groupBy("query_id").agg(F.countDistinct("vec_id").alias("c")).where(F.col("c") >= k).select("query_id").toArrow()
             short = ~np.isin(ids, full.column("query_id").to_numpy())
             if short.any():
                 rest, block = against(own, ids[short], x[short], (0, 0))
-                out = out.unionByName(materialize(rest, min(total, len(ids)) * k))
+                out = out.unionByName(materialize(rest))
                 block.destroy()
             kept = kept.unionByName(out)
     out = kept.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -52,7 +52,8 @@ def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     This cuts the lineage with files that survive the loss of executors, and
     gives later joins true sizes to plan with. ``rows``, where known, bounds the
     rows of ``df``; the number of files follows from it, so that small tables
-    don't become one tiny file for each shuffle partition.
+    don't become one tiny file for each shuffle partition. It is for results of
+    a shuffle: a scan right before it would be narrowed to as few tasks.
     """
     path = f"{own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     if rows is not None:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rooftide.llm.quality import labelled
-from rooftide.llm.shared import materialize
+from rooftide.llm.shared import FILES, materialize
 from rooftide.llm.text import chunks, mix, utf8, word_hashes, word_spans
 
 PER_CLASS = 3000
@@ -179,7 +179,8 @@ def fold_of(own: np.ndarray) -> int:
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     spark = docs.sparkSession
-    rows = materialize(labelled(docs, labels, "toxic", PER_CLASS), 2 * PER_CLASS)
+    # the documents are scanned by as many tasks as they have; only the chosen rows move into few files
+    rows = materialize(labelled(docs, labels, "toxic", PER_CLASS).repartition(FILES))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
