@@ -50,12 +50,8 @@ _ROLLING = f"transform(_h, (x, i) -> (x + IF(i = 0, 0, 31 * _h[i - 1])) % 429496
 _STARTS = "concat(array(0), filter(sequence(0, size(_r) - 1), i -> i > 0 AND _r[i] < _r[i - 1] AND (i = size(_r) - 1 OR _r[i] < _r[i + 1])))"
 #: Lines with text.
 _FILLED = "array_compact(transform(_lines, (x, i) -> IF(trim(BOTH ' \\t\\r' FROM x) = '', NULL, i)))"
-#: Places that overlap or touch, as one.
-_MERGED = (
-    "aggregate(array_sort(_gone), CAST(array() AS array<struct<at: int, len: int>>), (a, g) ->"
-    " IF(size(a) > 0 AND try_element_at(a, -1).at + try_element_at(a, -1).len >= g.at, concat(slice(a, 1, size(a) - 1), array(named_struct("
-    "'at', try_element_at(a, -1).at, 'len', greatest(try_element_at(a, -1).len, g.at + g.len - try_element_at(a, -1).at)))), concat(a, array(g))))"
-)
+#: Places of the lines that stay, in linear time.
+_KEPT = "array_except(sequence(0, size(_lines) - 1), flatten(transform(_gone, g -> sequence(g.at, g.at + g.len - 1))))"
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -107,8 +103,9 @@ def _without(docs: DataFrame, id_column: str, text_column: str, find: Callable[[
     again = join_hot(found, groups, ["digest"], "n").withColumn("later", F.expr("first._id <> _id OR first._m <> _m OR at >= first.at + len"))
     lists = again.groupBy("_id", "_m").agg(F.collect_set(F.struct("at", "len", "digest", "later")).alias("_chunks"))
     out = materialize(known.join(lists, ["_id", "_m"], "left"))
-    pieces = out.select(F.expr(_LINES).alias("_lines"), F.explode("_chunks").alias("c"))
-    pieces = pieces.select("c.digest", F.expr("array_join(slice(_lines, c.at + 1, c.len), '\\n')").alias("bytes"))
+    # lines are split below each explode, not again for every chunk above it
+    pieces = out.where("_chunks IS NOT NULL").select("_chunks", F.explode(F.expr(f"array({_LINES})")).alias("_lines"))
+    pieces = pieces.select("_lines", F.explode("_chunks").alias("c")).select("c.digest", F.expr("array_join(slice(_lines, c.at + 1, c.len), '\\n')").alias("bytes"))
     other = materialize(pieces.groupBy("digest").agg(F.min("bytes").alias("a"), F.max("bytes").alias("z")).where("a <> z").select("digest"))
     left = "filter(_chunks, c -> c.later)"
     if not other.isEmpty():
@@ -116,15 +113,15 @@ def _without(docs: DataFrame, id_column: str, text_column: str, find: Callable[[
         out = out.join(alone, ["_id", "_m"], "left")
         left = "filter(_chunks, c -> c.later AND NOT coalesce(array_contains(_alone, c.digest), false))"
     gone = F.expr(f"IF(size({left}) > 0, transform({left}, c -> named_struct('at', c.at, 'len', c.len)), NULL)")
-    out = out.select("_id", "_text", "_rest", gone.alias("_gone")).withColumn("_gone", F.expr(f"IF(_gone IS NULL, NULL, {_MERGED})"))
+    out = out.select("_id", "_text", "_rest", gone.alias("_gone"))
     out = out.unionByName(unknown.withColumn("_gone", F.lit(None).cast("array<struct<at:int,len:int>>")))
-    kept = f"filter({_LINES}, (x, i) -> NOT exists(_gone, g -> i >= g.at AND i < g.at + g.len))"
-    n_gone = "coalesce(aggregate(_gone, 0L, (n, g) -> n + g.len), 0L)"
+    out = out.select("_id", "_text", "_rest", "_gone", F.explode(F.expr(f"array(IF(_gone IS NULL, array(), {_LINES}))")).alias("_lines"))
+    out = out.withColumn("_kept", F.expr(f"IF(_gone IS NULL, NULL, {_KEPT})"))
     return out.select(
         F.col("_id").alias(id_column),
-        F.expr(f"IF(_gone IS NULL, _text, array_join({kept}, '\\n'))").alias(text_column),
+        F.expr("IF(_gone IS NULL, _text, array_join(transform(_kept, i -> _lines[i]), '\\n'))").alias(text_column),
         F.expr(f"CAST(IF(_text IS NULL, 0, size({_LINES})) AS BIGINT)").alias("n_lines"),
-        F.expr(n_gone).alias("n_removed"),
+        F.expr("CAST(IF(_gone IS NULL, 0, size(_lines) - size(_kept)) AS BIGINT)").alias("n_removed"),
         *[F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(rest)],
     )
 

@@ -52,3 +52,14 @@ def test_odd_rows(spark):
     assert [(got[i].text, got[i].n_lines, got[i].n_removed) for i in (1, 2, 3, None, 5)] == [("", 12, 12), (None, 0, 0), ("", 1, 0), (B, 12, 0), ("", 4, 4)]
     assert got[6].n_lines == 20001
     assert linededup.passages(spark.createDataFrame([], schema)).count() == 0 and linededup.dedup(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("find", [linededup.dedup, linededup.passages])
+def test_texts_of_very_many_lines_take_linear_time(spark, find):
+    n = 100_000
+    rows = [(0, "\n".join(f"s{i}" for i in range(n))), (1, "\n".join(f"s{i}" if i % 7 else f"own{i}" for i in range(n)))]
+    (_, first), ((_, text), gone) = removed(spark, rows, find)
+    own = [f"own{i}" for i in range(0, n, 7)]
+    assert first == 0 and gone == n - len(text.split("\n")) and set(own) <= set(text.split("\n"))
+    if find is linededup.passages:
+        assert text == "\n".join(own)
