@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rooftide.plans import graphs, kernels, surfaces
+from rooftide.plans import features, graphs, kernels, surfaces
 from rooftide.plans.dialects import read, series
 from rooftide.plans.fixtures import TABLES, with_views
 from rooftide.plans.surfaces import SHAPES, inside, near, percentile, ranked
@@ -216,13 +216,15 @@ def query(name: str):
     def run(spark: SparkSession, sf_dir: str, **given: DataFrame) -> DataFrame:
         for view, rows in given.items():
             rows.createOrReplaceTempView(view)
-        text = read(with_views(SQL[name], tuple(given)), "spark")
+        text = read(with_views(SQL[name] if name in SQL else " ".join(graphs.GRAPHS[name]), tuple(given)), "spark")
         for table in TABLES:
             if table in text:
                 spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        if name in features.PLANS:
+            return features.PLANS[name](lambda sql: spark.sql(read(with_views(sql, tuple(given)), "spark")))
         return spark.sql(text)
 
     return run
 
 
-QUERIES = {name: query(name) for name in SQL} | graphs.QUERIES | kernels.QUERIES
+QUERIES = {name: query(name) for name in SQL} | graphs.QUERIES | {name: query(name) for name in features.PLANS} | kernels.QUERIES
