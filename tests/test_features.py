@@ -35,3 +35,8 @@ def test_adjacency_by_strips_is_that_of_all_pairs(monkeypatch, most):
 def test_plane_adjacency_makes_no_pairs_of_rows(spark):
     plan = plan_of(catalog.QUERIES["j6_plane_adjacency"](spark, FOLDER))
     assert "FlatMapGroupsInArrow" in plan and "Window" not in plan and "Join" not in plan
+
+
+def test_plane_segments_take_their_pairs_from_the_kernel(spark):
+    plan = plan_of(catalog.QUERIES["j4_plane_segments"](spark, FOLDER))
+    assert "FlatMapGroupsInArrow" in plan and "Window" not in plan
