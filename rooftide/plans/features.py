@@ -110,4 +110,5 @@ def cluster_points_3d(sql: Sql) -> DataFrame:
 PLANS: dict[str, Callable[[Sql], DataFrame]] = {
     "j4_plane_segments": plane_segments,
     "j6_plane_adjacency": adjacent,
+    "r3_filled_raster": filled_raster,
 }

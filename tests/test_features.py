@@ -40,3 +40,23 @@ def test_plane_adjacency_makes_no_pairs_of_rows(spark):
 def test_plane_segments_take_their_pairs_from_the_kernel(spark):
     plan = plan_of(catalog.QUERIES["j4_plane_segments"](spark, FOLDER))
     assert "FlatMapGroupsInArrow" in plan and "Window" not in plan
+
+
+def test_raster_is_filled_without_a_row_for_each_cell_of_a_window(spark):
+    plan = plan_of(catalog.QUERIES["r3_filled_raster"](spark, FOLDER))
+    assert "FlatMapGroupsInArrow" in plan
+
+
+def test_windows_take_the_least_of_written_cells():
+    r = np.random.default_rng(5)
+    cells = np.unique(r.integers(-3, 30, (60, 2)), axis=0)
+    z = r.random(len(cells))
+    got = {(c, w): (h, e) for c, w, h, e in zip(*(a.tolist() for a in nearby.window_least(*cells.T, z)), strict=True)}
+    own = {tuple(c): h for c, h in zip(cells.tolist(), z.tolist(), strict=True)}
+    want = {}
+    for c in range(cells[:, 0].max() + 1):
+        for w in range(cells[:, 1].max() + 1):
+            near = [h for (a, b), h in own.items() if c - 5 <= a <= c + 4 and w - 5 <= b <= w + 4]
+            if near:
+                want[c, w] = (own.get((c, w), min(near)), (c, w) not in own)
+    assert got == want
