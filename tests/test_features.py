@@ -60,3 +60,15 @@ def test_windows_take_the_least_of_written_cells():
             if near:
                 want[c, w] = (own.get((c, w), min(near)), (c, w) not in own)
     assert got == want
+
+
+def test_points_between_two_triangles_go_where_duckdb_has_them(spark, tmp_path):
+    db = duckdb.connect()
+    db.execute("CREATE TABLE supplier AS SELECT CAST(unnest([569, 656]) AS BIGINT) AS s_suppkey, 'a' AS s_name, 1.0e0 AS s_acctbal")
+    db.execute("""CREATE TABLE lineitem AS SELECT CAST(k AS BIGINT) AS l_orderkey, 1 AS l_linenumber, CAST(k AS BIGINT) AS l_partkey, CAST(1 AS BIGINT) AS l_suppkey, CAST(q AS DOUBLE) AS l_quantity,
+      CAST(p AS DOUBLE) AS l_extendedprice, 'N' AS l_returnflag FROM (VALUES (11384, 9, 50694.34), (13135, 39, 90612.5), (11384, 30, 20000)) AS t(k, q, p)""")
+    db.execute("CREATE TABLE part AS SELECT CAST(1 AS BIGINT) AS p_partkey")
+    for t in ("supplier", "lineitem", "part"):
+        db.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    got = catalog.QUERIES["j8_mesh_quality"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(db.execute(catalog.oracle()["j8_mesh_quality"]).fetchall())
