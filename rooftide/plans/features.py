@@ -110,6 +110,7 @@ def cluster_points_3d(sql: Sql) -> DataFrame:
 PLANS: dict[str, Callable[[Sql], DataFrame]] = {
     "j4_plane_segments": plane_segments,
     "j6_plane_adjacency": adjacent,
+    "j7_nearest_distance": nearest_distance,
     "j8_mesh_quality": mesh_quality,
     "r3_filled_raster": filled_raster,
 }

@@ -72,3 +72,16 @@ def test_points_between_two_triangles_go_where_duckdb_has_them(spark, tmp_path):
         db.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
     got = catalog.QUERIES["j8_mesh_quality"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(db.execute(catalog.oracle()["j8_mesh_quality"]).fetchall())
+
+
+@pytest.mark.parametrize("most", [1 << 20, 64])
+def test_nearest_by_strips_is_the_nearest_of_all(monkeypatch, most):
+    monkeypatch.setattr(nearby, "MOST", most)
+    r = np.random.default_rng(4)
+    p, q = r.random((300, 3)) * 90, r.random((70, 3)) * [20, 90, 90]
+    assert np.array_equal(nearby.nearest_squared(p, q), [min(float((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) for b in q) for a in p])
+
+
+def test_nearest_distance_makes_no_pairs_of_rows(spark):
+    plan = plan_of(catalog.QUERIES["j7_nearest_distance"](spark, FOLDER))
+    assert "FlatMapGroupsInArrow" in plan and "Join" not in plan
