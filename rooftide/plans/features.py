@@ -113,4 +113,5 @@ PLANS: dict[str, Callable[[Sql], DataFrame]] = {
     "j7_nearest_distance": nearest_distance,
     "j8_mesh_quality": mesh_quality,
     "r3_filled_raster": filled_raster,
+    "g2_cluster_points_3d": cluster_points_3d,
 }

@@ -85,3 +85,25 @@ def test_nearest_by_strips_is_the_nearest_of_all(monkeypatch, most):
 def test_nearest_distance_makes_no_pairs_of_rows(spark):
     plan = plan_of(catalog.QUERIES["j7_nearest_distance"](spark, FOLDER))
     assert "FlatMapGroupsInArrow" in plan and "Join" not in plan
+
+
+def test_clusters_hang_together_over_long_chains():
+    p = np.column_stack([np.arange(500) * 3.9, np.zeros(500), np.zeros(500)])
+    p[250:, 0] += 1
+    assert nearby.clusters(p, 4.0).tolist() == [0] * 250 + [250] * 250
+
+
+def test_clusters_are_those_of_a_plain_walk():
+    r = np.random.default_rng(6)
+    for _ in range(20):
+        p = r.random((150, 3)) * 30
+        p = p[np.argsort(p[:, 0])]
+        near = ((p[:, None] - p[None]) ** 2).sum(2) <= 16
+        want = np.arange(150)
+        while (least := np.where(near, want[None], 150).min(1)).tolist() != want.tolist():
+            want = least
+        assert nearby.clusters(p, 4.0).tolist() == want.tolist()
+
+
+def test_clusters_in_space_need_no_table_of_links(spark):
+    assert "FlatMapGroupsInArrow" in plan_of(catalog.QUERIES["g2_cluster_points_3d"](spark, FOLDER))
