@@ -1,6 +1,7 @@
 """Kernels on shapes whose answers are known: cube, gable roof, L, rings with holes, lines, grids, small graphs."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -254,3 +255,24 @@ def test_edges_of_three_triangles_are_split():
 
 def test_rings_nest():
     assert delaunay.nesting([SQUARE * 3, SQUARE * 2 + 1, SQUARE / 4 + 3, SQUARE + 50]) == [0, 1, 2, 0]
+
+
+def test_neighbours_of_many_points_are_those_of_all_pairs_and_soon_found():
+    r = np.random.default_rng(11)
+    for p in (r.integers(0, 25, (500, 3)).astype(float), r.random((400, 2)) * [50, 1], np.column_stack([np.arange(300), np.zeros(300), r.random(300) * 99])):
+        d = ((p[:, None] - p[None]) ** 2).sum(2)
+        np.fill_diagonal(d, np.inf)
+        assert np.array_equal(planes.neighbours(p, 8), np.argsort(d, axis=1, kind="stable")[:, :8])
+    began = time.time()
+    planes.neighbours(r.random((20_000, 3)) * [1, 1, 0.01], 15)
+    assert time.time() - began < 5
+
+
+def test_triangulation_of_many_points_is_soon_done():
+    r = np.random.default_rng(12)
+    p, began = r.random((20_000, 2)), time.time()
+    t = delaunay.delaunay(p)
+    assert time.time() - began < 5
+    assert abs(delaunay.doubled_area(p, t).sum() / 2 - 1) < 0.01 and len(np.unique(t)) == len(p)
+    centre, radius = delaunay.circles(p, t[::500])
+    assert all((((p - c) ** 2).sum(1) < s * (1 - 1e-3)).sum() == 0 for c, s in zip(centre, radius))
