@@ -276,3 +276,10 @@ def test_triangulation_of_many_points_is_soon_done():
     assert abs(delaunay.doubled_area(p, t).sum() / 2 - 1) < 0.01 and len(np.unique(t)) == len(p)
     centre, radius = delaunay.circles(p, t[::500])
     assert all((((p - c) ** 2).sum(1) < s * (1 - 1e-3)).sum() == 0 for c, s in zip(centre, radius))
+
+
+def test_rings_of_many_vertices_are_soon_simplified():
+    a = np.linspace(0, 2 * np.pi, 1500, endpoint=False)
+    began = time.time()
+    kept = lines.simplified(np.stack([np.cos(a), np.sin(a)], axis=1) * 10)
+    assert time.time() - began < 3 and 3 < len(kept) < 1500
