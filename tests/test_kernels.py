@@ -283,3 +283,13 @@ def test_rings_of_many_vertices_are_soon_simplified():
     began = time.time()
     kept = lines.simplified(np.stack([np.cos(a), np.sin(a)], axis=1) * 10)
     assert time.time() - began < 3 and 3 < len(kept) < 1500
+
+
+def test_meshes_of_many_triangles_are_soon_thinned():
+    p = np.column_stack([grid(80), np.sin(grid(80)[:, 0])])
+    i = np.arange(79)[:, None] * 80 + np.arange(79)
+    t = np.concatenate([np.stack([i, i + 80, i + 1], -1).reshape(-1, 3), np.stack([i + 1, i + 80, i + 81], -1).reshape(-1, 3)])
+    began = time.time()
+    v, f = meshes.quadric(p, t)
+    assert time.time() - began < 9 and len(f) < 0.6 * len(t)
+    assert abs(delaunay.doubled_area(v[:, :2], f).sum() / 2 - 79 * 79) < 5
