@@ -293,3 +293,14 @@ def test_meshes_of_many_triangles_are_soon_thinned():
     v, f = meshes.quadric(p, t)
     assert time.time() - began < 9 and len(f) < 0.6 * len(t)
     assert abs(delaunay.doubled_area(v[:, :2], f).sum() / 2 - 79 * 79) < 5
+
+
+def test_heights_of_many_places_are_soon_found():
+    r = np.random.default_rng(13)
+    p = np.column_stack([r.random((12_000, 2)), np.zeros(12_000)])
+    p[:, 2] = 3 * p[:, 0] - p[:, 1]
+    t, q = delaunay.delaunay(p[:, :2]), r.random((12_000, 2)) * 0.9 + 0.05
+    began = time.time()
+    z = delaunay.height_in(p, t, q)
+    assert time.time() - began < 1.5 and np.allclose(z, 3 * q[:, 0] - q[:, 1])
+    assert np.isnan(delaunay.height_in(p, t, np.array([[2.0, 2.0]]))).all()
