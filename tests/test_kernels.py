@@ -1,5 +1,6 @@
 """Kernels on shapes whose answers are known: cube, gable roof, L, rings with holes, lines, grids, small graphs."""
 
+import collections
 import itertools
 import time
 
@@ -304,3 +305,12 @@ def test_heights_of_many_places_are_soon_found():
     z = delaunay.height_in(p, t, q)
     assert time.time() - began < 1.5 and np.allclose(z, 3 * q[:, 0] - q[:, 1])
     assert np.isnan(delaunay.height_in(p, t, np.array([[2.0, 2.0]]))).all()
+
+
+def test_lines_grow_again_only_where_points_were_taken(monkeypatch):
+    seeds = []
+    monkeypatch.setattr(lines, "deque", lambda first: seeds.append(first[0]) or collections.deque(first))
+    a = np.linspace(0, 2 * np.pi, 40, endpoint=False)
+    curve = np.stack([np.cos(a), np.sin(a)], axis=1) * 12
+    assert not lines.detect(curve, threshold=0.05)
+    assert len(seeds) == 40  # once from each point, whatever the least count
