@@ -314,3 +314,32 @@ def test_lines_grow_again_only_where_points_were_taken(monkeypatch):
     curve = np.stack([np.cos(a), np.sin(a)], axis=1) * 12
     assert not lines.detect(curve, threshold=0.05)
     assert len(seeds) == 40  # once from each point, whatever the least count
+
+
+def test_clouds_are_triangulated_without_insertion(monkeypatch):
+    r = np.random.default_rng(8)
+    clouds = [grid(26), r.normal(size=(400, 2)) + [1e4, 2e4], grid(20)[r.random(400) < 0.8]]
+    before = [delaunay._inserted(*_surrounded(p).T.tolist(), len(p)) for p in clouds]
+    monkeypatch.setattr(delaunay, "_inserted", None)
+    for p, t in zip(clouds, before, strict=True):
+        q = _surrounded(p)
+        now = delaunay._closed(q, delaunay._starred(q))
+        assert len(now) == 2 * len(p) + 1 and {*map(tuple, now.tolist())} == {*map(tuple, t.tolist())}
+        assert len(delaunay.delaunay(p)) > len(p)
+
+
+def _surrounded(p):
+    p = (p - p.mean(0)) / np.ptp(p, axis=0).max() + 1e-7 * np.random.default_rng(1).random(p.shape)
+    return np.concatenate([p, [[-3e3, -2e3], [3e3, -2e3], [0.0, 4e3]]])
+
+
+def test_lines_and_far_clumps_are_triangulated():
+    for n in (7, 50, 200, 400):
+        assert len(delaunay.delaunay(np.column_stack([np.arange(n), 2.0 * np.arange(n)]))) == 0
+    # every two neighbours on a line make a triangle with a point off it
+    assert len(delaunay.delaunay(np.append(np.column_stack([np.arange(200), 2.0 * np.arange(200)]), [[3.0, 9.0]], axis=0))) == 199
+    for seed in range(8):
+        r = np.random.default_rng(seed)
+        p = np.concatenate([r.random((50, 2)) * 0.01 + r.random(2) * 100 for _ in range(20)])
+        q = _surrounded(p)
+        assert len(delaunay.delaunay(p)) and len(delaunay._closed(q, delaunay._starred(q))) == 2001
