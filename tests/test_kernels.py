@@ -343,3 +343,30 @@ def test_lines_and_far_clumps_are_triangulated():
         p = np.concatenate([r.random((50, 2)) * 0.01 + r.random(2) * 100 for _ in range(20)])
         q = _surrounded(p)
         assert len(delaunay.delaunay(p)) and len(delaunay._closed(q, delaunay._starred(q))) == 2001
+
+
+def test_planes_are_fitted_in_plain_numbers(monkeypatch):
+    r, solve, asked = np.random.default_rng(2), np.linalg.eigh, []
+    for wide in ([1e-6, 1, 2], [0.1, 1, 1], [1, 1.5, 3], [0, 1, 2], [0, 0, 1]):
+        q = r.normal(size=(30, 3)) * wide @ np.linalg.qr(r.normal(size=(3, 3)))[0]
+        m = (q - q.mean(0)).T @ (q - q.mean(0))
+        axis, values = np.array(planes.flattest(*m[[0, 0, 0, 1, 1, 2], [0, 1, 2, 1, 2, 2]].tolist())), solve(m)[0]
+        assert np.isclose(axis @ axis, 1) and axis[2] >= 0 and np.isclose(axis @ m @ axis, values[0], atol=1e-12 * values[2])
+    monkeypatch.setattr(np.linalg, "eigh", lambda m: (asked.append(m.ndim), solve(m))[1])
+    label, found, _ = planes.grow(gable())
+    # one for each plane, and where the first points lie in a line; not one for every five points
+    assert len(found) == 2 and (label > 0).mean() > 0.8 and asked.count(2) < 40
+
+
+@pytest.mark.parametrize("k", [3, 8, 15])
+def test_equal_distances_go_to_the_smaller_index(k, monkeypatch):
+    p = np.column_stack([grid(14), np.round(np.random.default_rng(k).random(196))])[np.random.default_rng(4).permutation(196)]
+    d = ((p[:, None] - p[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    widest, some = [0], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *x, **y: (widest.append(a.shape[-1] if a.ndim > 1 else 0), some(a, *x, **y))[1])
+    near = planes.neighbours(p, k)
+    monkeypatch.undo()
+    assert (near == np.argsort(d, axis=1, kind="stable")[:, :k]).all()
+    # rows are put in order up to little more than the k nearest
+    assert max(widest) <= k + 12
