@@ -51,3 +51,10 @@ def test_no_rows_give_no_rows(spark):
     for _, kernel, schema in kernels.KERNELS.values():
         assert kernels.run(empty, kernel, schema).columns[0] == "fid"
     assert kernels.run(empty, kernels.detect_planes, kernels.KERNELS["g1_detect_planes"][2]).count() == 0
+
+
+def test_rows_hold_only_what_kernels_take(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "run", lambda rows, *_: rows)
+    shipped = lambda name: kernels.query(name)(spark, FOLDER).columns
+    assert shipped("g8_alpha_shape") == shipped("m4_max_inscribed_circle") == ["fid", "kind", "a", "b", "c"]
+    assert shipped("g5_regularise_lines") == ["fid", "kind", *"abcdef"] and shipped("m6_mesh_clipper") == ["fid", "kind", *kernels.PLACES]

@@ -323,7 +323,7 @@ def test_clouds_are_triangulated_without_insertion(monkeypatch):
     monkeypatch.setattr(delaunay, "_inserted", None)
     for p, t in zip(clouds, before, strict=True):
         q = _surrounded(p)
-        now = delaunay._closed(q, delaunay._starred(q))
+        now = delaunay._closed(q, delaunay._starred([q[:-3]])[0])
         assert len(now) == 2 * len(p) + 1 and {*map(tuple, now.tolist())} == {*map(tuple, t.tolist())}
         assert len(delaunay.delaunay(p)) > len(p)
 
@@ -342,7 +342,7 @@ def test_lines_and_far_clumps_are_triangulated():
         r = np.random.default_rng(seed)
         p = np.concatenate([r.random((50, 2)) * 0.01 + r.random(2) * 100 for _ in range(20)])
         q = _surrounded(p)
-        assert len(delaunay.delaunay(p)) and len(delaunay._closed(q, delaunay._starred(q))) == 2001
+        assert len(delaunay.delaunay(p)) and len(delaunay._closed(q, delaunay._starred([q[:-3]])[0])) == 2001
 
 
 def test_planes_are_fitted_in_plain_numbers(monkeypatch):
@@ -370,3 +370,27 @@ def test_equal_distances_go_to_the_smaller_index(k, monkeypatch):
     assert (near == np.argsort(d, axis=1, kind="stable")[:, :k]).all()
     # rows are put in order up to little more than the k nearest
     assert max(widest) <= k + 12
+
+
+def test_clouds_of_a_feature_are_triangulated_together(monkeypatch):
+    r, turned, asked = np.random.default_rng(6), delaunay._turned, []
+    clouds = [grid(12), r.random((300, 2)) * [1000, 40] + 5e5, grid(3), np.zeros((0, 2)), r.normal(size=(90, 2)), np.column_stack([np.arange(40.0), np.zeros(40)]), grid(2)[:2]]
+    clouds.append(np.concatenate([r.random((150, 2)), r.random((150, 2)) * 0.01]))
+    alone = [delaunay.delaunay(p) for p in clouds]
+    monkeypatch.setattr(delaunay, "_turned", lambda *a: (asked.append(len(a[2])), turned(*a))[1])
+    together = delaunay.triangulations(clouds)
+    assert len(asked) <= 2 and [len(t) for t in together][2:6] == [8, 0, len(alone[4]), 0]
+    assert all(np.array_equal(a, b) for a, b in zip(alone, together, strict=True))
+    for p, t in zip(clouds, together):
+        assert (np.sort(delaunay.alpha_shape(p, t=t)[0]) == np.sort(delaunay.alpha_shape(p)[0])).all()
+
+
+def test_contours_cross_lines_in_plain_numbers(monkeypatch):
+    way, hypot, asked = np.linspace(0, 2 * np.pi, 200, endpoint=False), np.hypot, []
+    ring = np.column_stack([30 * np.cos(way), 20 * np.sin(way)]).round()
+    ring = ring[(ring != np.roll(ring, 1, axis=0)).any(1)]
+    monkeypatch.setattr(np, "hypot", lambda *a: (asked.append(1), hypot(*a))[1])
+    out = lines.contour(ring)
+    # one call for the lengths of all edges; none for each corner
+    assert len(asked) <= 1 and abs(arrangement.ring_area(out) / arrangement.ring_area(ring) - 1) < 0.1
+    assert lines.crossing(SQUARE[:2], SQUARE[2:]) is None and lines.crossing(SQUARE[[0, 2]], SQUARE[[1, 3]]).tolist() == [2, 2]
