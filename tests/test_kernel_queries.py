@@ -58,3 +58,20 @@ def test_rows_hold_only_what_kernels_take(spark, monkeypatch):
     shipped = lambda name: kernels.query(name)(spark, FOLDER).columns
     assert shipped("g8_alpha_shape") == shipped("m4_max_inscribed_circle") == ["fid", "kind", "a", "b", "c"]
     assert shipped("g5_regularise_lines") == ["fid", "kind", *"abcdef"] and shipped("m6_mesh_clipper") == ["fid", "kind", *kernels.PLACES]
+
+
+def test_corners_give_the_cells_of_the_sql(spark):
+    kernels.QUERIES["g1_detect_planes"](spark, FOLDER)
+    rows = lambda sql: spark.sql(read(with_views(sql), "spark")).selectExpr("CAST(fid AS BIGINT) AS fid", "CAST(kind AS INT) AS kind", *(f"CAST({c} AS DOUBLE) AS {c}" for c in "abc"))
+    one = lambda sql: sorted(kernels.run(rows(sql), lambda f: [dict(zip("abc", map(float, p))) for p in f.cloud], "a double, b double, c double").collect())
+    cells, corners = rows(kernels.CLOUD), rows(kernels.CORNERS)
+    assert one(kernels.CORNERS) == one(kernels.CLOUD) == sorted(cells.drop("kind").collect())
+    assert corners.count() * 30 < cells.count()
+
+
+def test_features_are_whole_over_batches_of_rows(spark):
+    # one feature of many batches between small ones, and rows without a feature
+    rows = spark.range(60_000).selectExpr("CASE WHEN id < 50000 THEN 5 WHEN id < 50003 THEN NULL ELSE id % 700 + 10 END AS fid", "0 AS kind", "CAST(id AS DOUBLE) AS a", "0e0 AS b", "0e0 AS c")
+    count = kernels.run(rows, lambda f: [{"n": len(f.cloud), "s": float(f.cloud[:, 0].sum())}], "n long, s double").collect()
+    want = rows.groupBy("fid").agg({"kind": "count", "a": "sum"}).selectExpr("fid", "`count(kind)` AS n", "`sum(a)` AS s").collect()
+    assert sorted(map(repr, count)) == sorted(map(repr, want)) and len(count) == 702

@@ -394,3 +394,17 @@ def test_contours_cross_lines_in_plain_numbers(monkeypatch):
     # one call for the lengths of all edges; none for each corner
     assert len(asked) <= 1 and abs(arrangement.ring_area(out) / arrangement.ring_area(ring) - 1) < 0.1
     assert lines.crossing(SQUARE[:2], SQUARE[2:]) is None and lines.crossing(SQUARE[[0, 2]], SQUARE[[1, 3]]).tolist() == [2, 2]
+
+
+def test_planes_of_many_clouds_are_those_of_each():
+    r = np.random.default_rng(3)
+    clouds = [np.unique(np.floor(r.random((int(n), 3)) * [20, 15, 2]) + r.random(3) * 50, axis=0) for n in r.integers(5, 300, 30)] + [gable(), gable() + [900, -70, 3], np.zeros((0, 3))]
+    params = planes.PlaneParams(plane_k=8, epsilon=0.4)
+    for p, near in zip(clouds, planes.neighbourhoods(clouds, 8), strict=True):
+        d = ((p[:, None] - p[None]) ** 2).sum(2)
+        np.fill_diagonal(d, np.inf)
+        assert np.array_equal(near, np.argsort(d, axis=1, kind="stable")[:, : max(0, min(8, len(p) - 1))])
+    for p, (label, found, wall) in zip(clouds, planes.grown(clouds, params), strict=True):
+        alone = planes.grow(p, params)
+        assert np.array_equal(label, alone[0]) and np.array_equal(wall, alone[2]) and found.keys() == alone[1].keys()
+        assert all(np.allclose(found[i], alone[1][i], atol=1e-12) for i in found)
