@@ -408,3 +408,20 @@ def test_planes_of_many_clouds_are_those_of_each():
         alone = planes.grow(p, params)
         assert np.array_equal(label, alone[0]) and np.array_equal(wall, alone[2]) and found.keys() == alone[1].keys()
         assert all(np.allclose(found[i], alone[1][i], atol=1e-12) for i in found)
+
+
+def test_shapes_of_many_clouds_are_those_of_each():
+    r = np.random.default_rng(5)
+    clouds = [np.argwhere(r.random((w, 9)) < 0.8).astype(float) + r.random(2) * 100 for w in range(1, 25)] + [r.random((200, 2)) * [1, 40], np.zeros((2, 2))]
+    clouds = [p for p in clouds if len(p)]
+    shapes = delaunay.triangulations(clouds)
+    sizes = delaunay.radii(clouds, shapes)
+    for p, t, *known in zip(clouds, shapes, sizes, delaunay.joins(shapes, sizes), strict=True):
+        assert np.array_equal(t, delaunay.delaunay(p))
+        if not len(t):
+            continue
+        # parts at each radius are the triangles less the joins up to there
+        for at in np.quantile(known[0], [0, 0.3, 0.7, 1]):
+            held = t[known[0] <= at]
+            assert len(held) - (known[1] <= at).sum() == delaunay.parts(held).max() + 1
+        assert np.array_equal(delaunay.alpha_shape(p, 0.6, t=t, known=known)[0], delaunay.alpha_shape(p, 0.6)[0])
