@@ -425,3 +425,12 @@ def test_shapes_of_many_clouds_are_those_of_each():
             held = t[known[0] <= at]
             assert len(held) - (known[1] <= at).sum() == delaunay.parts(held).max() + 1
         assert np.array_equal(delaunay.alpha_shape(p, 0.6, t=t, known=known)[0], delaunay.alpha_shape(p, 0.6)[0])
+
+
+def test_grids_inside_rings_are_those_of_their_places():
+    r = np.random.default_rng(6)
+    for _ in range(20):
+        ring = np.round(r.random((9, 2)) * 6) / 2
+        x, y = np.arange(-1, 4, 0.25), np.arange(-1, 4, 0.5)
+        assert np.array_equal(delaunay.inside_grid(x, y, ring), delaunay.inside(*np.meshgrid(x, y), ring))
+    assert not delaunay.inside_grid(x[:0], y, ring).size
